@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Children of a node of the segment tree.
+FAN = 32
 #: Most stretches, and most pieces, whose tokens a worker remembers; then it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: A space between two white characters.
 WIDE = re.compile(r"\s \s")
 #: Texts of more characters are cut into pieces as a stream.
@@ -26,50 +28,46 @@ STREAM_CHARS, STREAM_PIECES = 1 << 20, 1 << 16
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Tokens of one piece. Leaves of the segment tree are byte positions; each holds the rank of the pair that starts at this live
-    position with its live right neighbour, scaled so that the smallest value of the tree is the leftmost pair of the lowest rank. A merge updates the
-    leaves of the merged position, of the one that goes and of the live left neighbour, in logarithmic time each."""
+    position with its live right neighbour, scaled so that the smallest value is the leftmost pair of the lowest rank. An inner node holds the smallest value of
+    its FAN children, up to a root of FAN at most. A merge updates the leaves of the merged position, of the one that goes and of the live left neighbour,
+    and the nodes above them: logarithmic in the length of the piece."""
     n = len(piece)
     if n == 1:
         return [ranks[piece]]
-    size = 1 << (n - 1).bit_length()
     none = 1 << 62
-    tree = [none] * (2 * size)
     get = ranks.get
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            tree[size + i] = rank * size + i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
+    leaf = [none if (rank := get(piece[i : i + 2])) is None else rank * n + i for i in range(n - 1)]
+    leaf.append(none)
+    levels = [leaf]
+    while len(levels[-1]) > FAN:
+        below = levels[-1]
+        levels.append([min(below[i : i + FAN]) for i in range(0, len(below), FAN)])
+    root, inner = levels[-1], list(zip(levels, levels[1:], strict=False))
     right = list(range(1, n + 1))  # start of the live right neighbour; n at the end
     left = list(range(-1, n - 1))
 
-    def put(i: int, value: int) -> None:
-        i += size
-        tree[i] = value
-        while i > 1:
-            i >>= 1
-            a, b = tree[2 * i], tree[2 * i + 1]
-            value = a if a < b else b
-            if tree[i] == value:
-                return
-            tree[i] = value
-
-    while tree[1] < none:
-        i = tree[1] % size
+    while (least := min(root)) < none:
+        i = least % n
         gone = right[i]
         after = right[gone]
         right[i] = after
+        leaf[gone] = none
         if after < n:
             left[after] = i
-        put(gone, none)
-        rank = get(piece[i : right[after]]) if after < n else None
-        put(i, none if rank is None else rank * size + i)
+            rank = get(piece[i : right[after]])
+            leaf[i] = none if rank is None else rank * n + i
+        else:
+            leaf[i] = none
         before = left[i]
         if before >= 0:
             rank = get(piece[before:after])
-            put(before, none if rank is None else rank * size + before)
+            leaf[before] = none if rank is None else rank * n + before
+        for at in (gone, i, before) if inner else ():
+            for below, above in inner:
+                if at < 0:
+                    break
+                at //= FAN
+                above[at] = min(below[at * FAN : at * FAN + FAN])
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : right[i]]])
@@ -104,6 +102,7 @@ class Codec:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
         self.token = {rank: token for token, rank in self.ranks.items()}
+        self.decimal = {rank: str(rank) for rank in self.token}
         self.pattern = regex.compile(pattern)
         self.pieces = _Memory(self._piece)
         self.stretches = _Memory(lambda stretch: self._stretch(" " + stretch))
@@ -112,24 +111,23 @@ class Codec:
         raw = piece.encode("utf-8", "surrogatepass")
         return (self.ranks[raw],) if raw in self.ranks else tuple(merge(raw, self.ranks))
 
-    def _stretch(self, stretch: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(stretch))))
-        return ids, ",".join(map(str, ids))
+    def _stretch(self, stretch: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.pattern.findall(stretch))))
 
     def runs(self, text: str) -> Iterator[list]:
-        """(ids, decimal form) of the stretches of a text, in lists of bounded length."""
+        """The ids of a text, in lists of bounded length."""
         if not text:
             return
         if len(text) <= STREAM_CHARS and not WIDE.search(text):
             first, *rest = text.split(" ")
-            yield [*([self._stretch(first)] if first else []), *map(self.stretches.__getitem__, rest)]
+            yield [*(self._stretch(first) if first else ()), *chain.from_iterable(map(self.stretches.__getitem__, rest))]
             return
         matches = self.pattern.finditer(text)
-        while run := [(ids := self.pieces[m.group()], ",".join(map(str, ids))) for m in islice(matches, STREAM_PIECES)]:
-            yield run
+        while run := [self.pieces[m.group()] for m in islice(matches, STREAM_PIECES)]:
+            yield list(chain.from_iterable(run))
 
     def encode(self, text: str) -> list[int]:
-        return [i for run in self.runs(text) for ids, _ in run for i in ids]
+        return list(chain.from_iterable(self.runs(text)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -137,12 +135,11 @@ class Codec:
     def digests(self, text: str, keep: bool) -> tuple[int, str, str, list[int] | None]:
         """Number of tokens, digest of their decimal form, digest of the bytes that they decode to, and the tokens if asked for."""
         n, first, said, back, kept = 0, True, hashlib.sha256(), hashlib.sha256(), [] if keep else None
-        for run in self.runs(text):
-            ids = list(chain.from_iterable([ids for ids, _ in run]))
-            said.update(("" if first else ",").encode() + ",".join([form for _, form in run]).encode())
+        for ids in self.runs(text):
+            said.update(("" if first else ",").encode() + ",".join(map(self.decimal.__getitem__, ids)).encode())
             back.update(self.decode(ids))
             n += len(ids)
-            first = first and not run
+            first = False
             if keep:
                 kept.extend(ids)
         return n, said.hexdigest(), back.hexdigest(), kept

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op4_byte_bpe
+from .decontaminate import op10_benchmark_decontamination
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .near_dedup import op1_minhash_near_dedup
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLE = {"op2_exact_dedup": OP2_SQL}
