@@ -5,49 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 
-def sorted_groups(docs: DataFrame, id_col: str, text: Column, payload: Column | None = None, salts: int = 64) -> DataFrame:
-    """Groups of equal texts, found by a range-partitioned external sort of the normalised bytes.
+SALTS = 64
+
+
+def sorted_runs(docs: DataFrame, id_col: str, text: Column, payload: Column | None = None) -> DataFrame:
+    """Runs of equal texts, found by a range-partitioned external sort of the normalised bytes.
 
     Splitters are sampled over (first bytes, digest, salt), so that what the sampler sends to the driver is small however long the texts are; equal
     texts have equal keys and end up adjacent. Within a range the rows are sorted on the whole text, which Spark does externally, and a
     window breaks where neighbouring whole texts differ. The salt comes from the identifier and cuts a text with very many copies into up to
-    `salts` runs, so a third of the table may be one text; the runs of a text are joined by their digests, from one narrow row a run.
+    SALTS runs, so a third of the table may be one text. Null texts count as empty.
 
-    Returns one row per row of docs: id, keep_id (largest id of the group; null when all its ids are null), group_size, kept (one row of each
-    group), text_sha256, and payload. Null texts count as empty. Of repeated rows with the same largest id exactly one is kept. An empty
-    table gives an empty one.
+    Returns id, salt, text_sha256, nth (place in the run, from the largest id on, null ids last), in_run (rows of the run) and payload.
     """
-    bare = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("t"), *([payload.alias("payload")] if payload is not None else []))
+    more = [payload.alias("payload")] if payload is not None else []
+    bare = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("t"), *more)
     keyed = bare.select(
         "*", F.substring(F.encode("t", "UTF-8"), 1, 32).alias("head"), F.xxhash64("t").alias("digest"),
-        F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(salts)).alias("salt"),
-    )
-    run = Window.partitionBy("head", "digest", "salt", "t")
-    placed = keyed.repartitionByRange("head", "digest", "salt")
-    runs = placed.select(
-        "id", "salt", *(["payload"] if payload is not None else []), F.sha2(F.encode("t", "UTF-8"), 256).alias("text_sha256"),
-        F.row_number().over(run.orderBy(F.col("id").desc_nulls_last())).alias("nth"),
-        F.count(F.lit(1)).over(run).alias("in_run"),
+        F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(SALTS)).alias("salt"),
     )
+    run = Window.partitionBy("head", "digest", "salt", "t").orderBy(F.col("id").desc_nulls_last())
+    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = keyed.repartitionByRange("head", "digest", "salt").withColumns({"nth": F.row_number().over(run), "in_run": F.count(F.lit(1)).over(whole)})
+    return placed.select("id", "salt", F.sha2(F.encode("t", "UTF-8"), 256).alias("text_sha256"), "nth", "in_run", *(["payload"] if more else []))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=lambda c: c) -> DataFrame:
+    """The group of equal texts of every row of docs. normalise: from the text's column to the one that is compared.
+
+    Returns one row per row of docs: id, keep_id (largest id of the group; null when all its ids are null), group_size, kept (true for one row of each
+    group; of repeated rows with the largest id exactly one), text_sha256 of the normalised text. Null texts count as empty, other columns are ignored, an empty
+    table gives an empty one. The sort is done once: its narrow result is checkpointed, and the runs of a text are joined by their digests, from one row a run.
+    """
+    runs = cut(sorted_runs(docs, id_col, normalise(F.col(text_col))))
     heads = runs.where("nth = 1").groupBy("text_sha256").agg(
         F.max("id").alias("keep_id"), F.sum("in_run").alias("group_size"), F.max_by("salt", F.struct(F.col("id").isNotNull(), "id")).alias("keep_salt")
     )
     kept = (F.col("nth") == 1) & (F.col("salt") == F.col("keep_salt"))
-    return runs.join(heads, "text_sha256").select("id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", *(["payload"] if payload is not None else []))
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=lambda c: c) -> DataFrame:
-    """The group of every row of docs; see sorted_groups. normalise: from the text's column to the one that is compared."""
-    return sorted_groups(docs, id_col, normalise(F.col(text_col)))
+    return runs.join(heads, "text_sha256").select("id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise=lambda c: c) -> DataFrame:
-    """docs with one row of each group of equal texts, the one with the largest id; all columns stay, whatever their names."""
+    """docs with one row of each group of equal texts, the one with the largest id; all columns stay, whatever their names.
+
+    Only the first row of each run goes on to the second step, so a text meets itself at most SALTS times there.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return sorted_groups(docs, id_col, normalise(F.col(text_col)), whole).where("kept").select("payload.*")
+    firsts = sorted_runs(docs, id_col, normalise(F.col(text_col)), whole).where("nth = 1").select("id", "salt", "text_sha256", "payload")
+    best = Window.partitionBy("text_sha256").orderBy(F.col("id").desc_nulls_last(), "salt")
+    return firsts.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("payload.*")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
