@@ -6,6 +6,7 @@ from .bpe import op4_byte_bpe
 from .decontaminate import op10_benchmark_decontamination
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .language_id import op8_language_id
+from .line_dedup import op7_line_dedup
 from .near_dedup import op1_minhash_near_dedup
 from .secrets import op6_secret_scan
 from .sharding import op9_lpt_sharding
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
+    "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_lpt_sharding": op9_lpt_sharding,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
