@@ -1,7 +1,7 @@
 """Queries over the driver's tables, by family, with the SQL that gives the same rows."""
 
-from . import graph
+from . import graph, incremental, resolve, symbols, telemetry
 
-FAMILIES = (graph,)
+FAMILIES = (graph, symbols, resolve, telemetry, incremental)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE = {name: sql for family in FAMILIES for name, sql in family.ORACLE.items()}
