@@ -156,12 +156,12 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     threshold = 0.0
     if good and bad:
         below_good = below_bad = 0
-        best = (1.0, 0.0, None)
-        for r in rows:
-            error = (below_good / good + (bad - below_bad) / bad) / 2
-            best = min(best, (error, abs(r.bin * BIN), r.bin * BIN), key=lambda x: x[:2])
-            below_good, below_bad = below_good + r.good, below_bad + r.bad
-        threshold = best[2] if best[2] is not None else 0.0
+        low, cuts = -BINS * BIN, []
+        for r in rows:  # between two occupied bins any threshold errs alike; the one next to 0 is taken
+            cuts.append(((below_good / good + (bad - below_bad) / bad) / 2, min(max(0.0, low), r.bin * BIN)))
+            below_good, below_bad, low = below_good + r.good, below_bad + r.bad, (r.bin + 1) * BIN
+        cuts.append((0.5, max(0.0, low)))
+        threshold = min(cuts, key=lambda c: (c[0], abs(c[1])))[1]
     verdict = F.coalesce("by_rule", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return ruled.mapInArrow(score, schema).select("id", "host", "path", "rule", verdict.alias("verdict"), "score")
 
