@@ -53,12 +53,6 @@ g AS (
     CASE o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 3 WHEN '5-LOW' THEN 1 ELSE 2 END FROM orders JOIN customer ON c_custkey = o_custkey
   UNION ALL SELECT 'DB_ACCESS', 'order' || o_orderkey, 'DB ' || o_orderstatus, false, 3 FROM orders)
 """
-NAME = F.coalesce(F.col("n.function"), F.concat(F.lit("ROUTE "), F.col("n.route")), F.concat(F.lit("DB "), F.col("n.model")))
-
-
-def _order_target(spark: SparkSession, key: int) -> DataFrame:
-    return spark.range(1).select(F.lit(0).cast("bigint").alias("seed_id"), F.lit(f"order{key}").alias("f")).select("seed_id", "f")
-
 
 def _target(spark: SparkSession, sf_dir: str, key: int = 1) -> DataFrame:
     """The function of one order."""

@@ -58,13 +58,14 @@ SESSION_SQL = """WITH s AS (SELECT user_id, event_id AS session_id, ts AS s, lea
 h AS (SELECT q.event_id, arg_min(session_id, (epoch_us(s.s), session_id)) AS session_id FROM events q JOIN s ON s.user_id = q.user_id AND s.s <= q.ts AND q.ts <= s.e WHERE q.event_type = 'error' GROUP BY q.event_id)
 SELECT event_id, session_id FROM events LEFT JOIN h USING (event_id) WHERE event_type = 'error'"""
 
-KIND = F.when(F.col("role") == "user", "USER_INPUT").when(F.col("role") == "assistant", F.when(F.length("text") > 300, "VIEW_FILE").otherwise("PLANNER_RESPONSE")).otherwise("SYSTEM_MESSAGE")
+def _kind():
+    return F.when(F.col("role") == "user", "USER_INPUT").when(F.col("role") == "assistant", F.when(F.length("text") > 300, "VIEW_FILE").otherwise("PLANNER_RESPONSE")).otherwise("SYSTEM_MESSAGE")
 KIND_SQL = "CASE role WHEN 'user' THEN 'user_tokens' WHEN 'assistant' THEN CASE WHEN length(text) > 300 THEN 'file_view_tokens' ELSE 'planner_tokens' END ELSE 'diagnostic_tokens' END"
 
 
 def token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = T.task_windows(table(spark, sf_dir, "conversations"), "conv_id", ["turn"], F.col("role") == "user")
-    found = T.attribution(windows, ["conv_id", "window_id"], KIND, tokens(F.col("text")))
+    found = T.attribution(windows, ["conv_id", "window_id"], _kind(), tokens(F.col("text")))
     return found.select("conv_id", "window_id", "user_tokens", "planner_tokens", "file_view_tokens", "diagnostic_tokens", "injected_tokens", "total_tokens")
 
 
