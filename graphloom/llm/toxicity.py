@@ -224,7 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id",
     terms = {w + "|": TIERS[0] + 1 for w in INSULTS}
     if whole is not None:
         odds = F.log((F.col("toxic") + 0.5) / (whole.toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (whole.clean + 1.0))
-        ranked = counted.where("term <> ''").withColumn("weight", odds).where("weight >= 1.2").orderBy((F.col("weight") * F.sqrt("toxic")).desc(), "term").limit(TERMS)
+        doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))  # standard error: a term seen in few documents weighs less
+        ranked = counted.where("term <> ''").withColumn("weight", odds - 1.5 * doubt).where("weight >= 1.0").orderBy((F.col("weight") * F.sqrt("toxic")).desc(), "term").limit(TERMS)
         terms |= {r.term: max(r.weight, terms.get(r.term, 0.0)) for r in ranked.collect()}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
