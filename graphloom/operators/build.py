@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut
 from ..plans.nodes import node, normal_path
 from ..plans.priority import first_match
+from . import link as L
 from . import resolve as R
 
 # Builtin functions and methods that calls often mean, markers of untrusted input, sanitizers, endings that a module path may lack.
@@ -217,8 +218,8 @@ def infer(g: dict[str, DataFrame], imports: DataFrame, rounds: int = 6) -> tuple
     return calls, facts
 
 
-def execution_edges(g: dict[str, DataFrame], calls: DataFrame) -> DataFrame:
-    """Edges of the execution graph: resolved calls, constructors, routes and their middlewares, database access, implementations of overridden methods, nested functions, dispatch tables."""
+def execution_edges(g: dict[str, DataFrame], calls: DataFrame, linked: DataFrame | None = None) -> DataFrame:
+    """Edges of the execution graph: resolved calls, constructors, routes and their middlewares, database access, implementations of overridden methods, nested functions, dispatch tables, and those of the linkers."""
     fn = lambda f, n, c, line=None: node("FUNCTION", file=F.col(f), function=F.col(n), class_=F.col(c) if c else None, line=F.col(line) if line else None)
     none = F.lit(None).cast("string")
     cols = lambda kind, src, dst, conf, via, call=none, test=F.lit(False): [F.lit(kind).alias("edge_type"), src.alias("src"), dst.alias("dst"), call.alias("call_id"), test.alias("is_test"), conf.alias("confidence"), F.lit(via).alias("via")]
@@ -243,7 +244,7 @@ def execution_edges(g: dict[str, DataFrame], calls: DataFrame) -> DataFrame:
     tables = g["constants"].where("kind = 'dispatch_table'").select("file", F.col("name").alias("function"), F.explode("targets").alias("target"))
     picked = calls.where("dispatch = 'table' and owner_function is not null").join(tables, ["file", "function"]).select(*cols("FUNCTION_CALL", fn("file", "owner_function", "owner_class"), fn("file", "target", None), F.lit("dispatch"), "dispatch", F.col("call_id"), F.col("is_test")))
     every = direct
-    for more in (built, routed, guarded, stored, overridden, picked):
+    for more in (built, routed, guarded, stored, overridden, picked, *([linked] if linked is not None else [])):
         every = every.unionByName(more)
     have = every.where("edge_type = 'FUNCTION_CALL'").select("src.file", F.col("src.function").alias("p"), F.col("dst.function").alias("c")).distinct()
     fresh = nested.join(have, (nested["src"]["file"] == have["file"]) & (nested["src"]["function"] == have["p"]) & (nested["dst"]["function"] == have["c"]), "left_anti")
@@ -283,7 +284,11 @@ def build(files: DataFrame, matches: DataFrame) -> Graph:
     g["reexports"] = cut(resolve_modules(g["reexports"].withColumn("name", F.coalesce("original", F.lit("*"))), known).drop("name"))
     calls, facts = infer(g, g["imports"])
     g |= {"calls": calls, "types": facts}
-    g["execution_edges"] = cut(execution_edges(g, calls))
+    body = L.bodies(g["functions"], files)
+    attributes = g["constants"].where("kind = 'class_attribute'").select("class", "name", "file")
+    extra = L.attribute_uses(body, attributes, g["classes"]).unionByName(L.constant_uses(body, g["constants"].where("kind in ('module', 'dispatch_table')").select("file", "name").distinct(), g["imports"]))
+    extra = extra.unionByName(L.fixture_edges(g["functions"], g["parameters"])).unionByName(L.alias_calls(calls, g["aliases"], g["functions"]))
+    g["execution_edges"] = cut(execution_edges(g, calls, extra))
     g |= security(g, calls)
     from .symbols import symbol_index
 

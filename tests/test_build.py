@@ -25,6 +25,7 @@ class Store(Base):
     def save(self, item):
         checked = tools.check(item)
         self.log(checked)
+        item = self.level
         self.db.execute("INSERT INTO items VALUES (1)")
         return requests.post("http://x/y")
 
@@ -37,6 +38,8 @@ def make_store() -> Store:
 ''',
     "shop/base.py": '''
 class Base:
+    level = 1
+
     def log(self, text):
         print(text)
 
@@ -56,9 +59,12 @@ def read(req):
 
 
 HANDLERS = {"a": check, "b": read}
+LIMIT = 3
 
 
 def run(key):
+    again = read
+    again(LIMIT)
     return HANDLERS[key](1)
 ''',
     "app.py": '''
@@ -76,7 +82,8 @@ def create(req):
     store.save(name)
     return check(name)
 ''',
-    "tests/test_store.py": "from shop.store import make_store\n\n\ndef test_save():\n    store = make_store()\n    store.save(3)\n",
+    "tests/conftest.py": "import pytest\n\n\n@pytest.fixture\ndef shelf():\n    return 1\n",
+    "tests/test_store.py": "from shop.store import make_store\n\n\ndef test_save(shelf):\n    store = make_store()\n    store.save(3)\n",
     "web/api.js": '''
 import { handler } from './handler.js';
 const express = require('express');
@@ -108,7 +115,7 @@ def graph(tree):
 
 def test_scan_prunes(tree):
     got = {r.file: r.is_test for r in tree.collect()}
-    assert set(got) == set(REPO) and [f for f, t in got.items() if t] == ["tests/test_store.py"]
+    assert set(got) == set(REPO) and sorted(f for f, t in got.items() if t) == ["tests/conftest.py", "tests/test_store.py"]
 
 
 def test_modules_resolve(graph):
@@ -152,6 +159,39 @@ def test_edges(graph):
     assert ("FUNCTION_CALL", "handler", "helper", "resolved") in got
 
 
+def test_linked_edges(graph):
+    got = names(graph.execution_edges)
+    assert ("FUNCTION_CALL", "save", "level", "uses") in got  # an attribute of the base class
+    assert ("FUNCTION_CALL", "run", "LIMIT", "uses") in got and ("FUNCTION_CALL", "run", "HANDLERS", "uses") in got
+    assert ("FUNCTION_CALL", "test_save", "shelf", "convention") in got
+    assert ("FUNCTION_CALL", "run", "read", "candidates") in got
+
+
+def test_near_declarations(spark, graph):
+    from graphloom.operators.link import near_declarations
+
+    line = {r.name: r.start_line for r in graph.functions.where("file = 'shop/tools.py'").collect()}
+    found = spark.createDataFrame([(1, "shop/tools.py", line["check"]), (2, "shop/tools.py", line["read"] - 1), (3, "shop/tools.py", 900)], "id int, file string, line int")
+    assert {r.id: r.name for r in near_declarations(found, graph.functions).collect()} == {1: "check", 2: "read", 3: None}
+
+
+def test_patches(spark, tree):
+    from graphloom.operators import patches as P
+
+    block = "<<<<<<< SEARCH\nLIMIT = 3\n=======\nLIMIT = (\n>>>>>>> REPLACE"
+    diff = "--- a\n+++ b\n@@ -900,1 +1,2 @@\n-LIMIT = 3\n+LIMIT = 4\n+MORE = 5\n@@ -1 +1 @@\n-nowhere\n+x\n"
+    rows = [(1, "shop/tools.py", block), (2, "shop/tools.py", diff), (3, "new.js", "<<<<<<< SEARCH\n=======\nf({a: [1]}); // )\n>>>>>>> REPLACE")]
+    got = {r.patch_id: r for r in P.patched(tree, spark.createDataFrame(rows, "patch_id int, file string, patch string")).collect()}
+    assert (got[1].lost, got[1].valid) == (0, False) and (got[2].lost, got[2].valid) == (1, True) and "MORE = 5" in got[2].content
+    assert got[3].valid and "f({a" in got[3].content and not P.parses("a.js", "f(]")
+
+
+def test_report(spark):
+    from graphloom.reports import report
+
+    assert "| 1 | a\\|b |" in report("T", some_part=spark.createDataFrame([(1, "a|b")], "x int, y string"))
+
+
 def test_impact_on_the_tree(spark, graph):
     target = spark.range(1).select(F.lit(0).cast("bigint").alias("seed_id"), node("FUNCTION", file="shop/store.py", function="save", class_="Store").alias("node"))
     tests = impact.tests_for(graph.execution_edges, target, graph.functions.where("is_test").select("file"))
