@@ -75,3 +75,21 @@ def unknown_symbols(graph, patches: DataFrame) -> DataFrame:
         known = known.unionByName(df.select("file", F.col(c).alias("symbol")))
     used = patches.select("file", "function", F.explode("identifiers").alias("symbol")).where(~F.col("symbol").isin(*BUILTINS))
     return used.join(known.distinct(), ["file", "symbol"], "left_anti")
+
+
+def symbol_kinds(graph, asked: DataFrame) -> DataFrame:
+    """What a symbol of a function is, if anything: keyword or builtin, function, parameter, local, import or sanitized variable. asked: file, function, symbol; returns it with `kinds` (sorted) and `exists`."""
+    from .build import BUILTINS
+    from .scoring import KEYWORDS
+
+    def known(df: DataFrame, name: str, kind: str, scoped: bool) -> DataFrame:
+        return df.select("file", F.col("function") if scoped else F.lit(None).cast("string").alias("function"), F.col(name).alias("symbol"), F.lit(kind).alias("kind"))
+
+    every = known(graph.functions, "name", "function", False).unionByName(known(graph.imports, "local", "import", False)).unionByName(known(graph.classes, "class", "class", False))
+    every = every.unionByName(known(graph.parameters, "name", "parameter", True)).unionByName(known(graph.variable_states, "variable", "local", True)).unionByName(known(graph.variable_states.where("sanitized"), "variable", "sanitized", True)).distinct()
+    k = every.select("file", F.col("function").alias("in_function"), "symbol", "kind")
+    hit = asked.join(k, ["file", "symbol"], "left").where(F.col("kind").isNull() | F.col("in_function").isNull() | (F.col("in_function") == F.col("function")))
+    grouped = asked.join(hit.groupBy("file", "function", "symbol").agg(F.sort_array(F.collect_set("kind")).alias("kinds")), ["file", "function", "symbol"], "left")
+    word = F.when(F.lower("symbol").isin(*KEYWORDS) | F.col("symbol").isin(*BUILTINS), F.array(F.lit("builtin"))).otherwise(F.array().cast("array<string>"))
+    out = grouped.withColumn("kinds", F.sort_array(F.array_union(F.coalesce("kinds", F.array().cast("array<string>")), word)))
+    return out.withColumn("exists", F.size("kinds") > 0)

@@ -86,3 +86,15 @@ def relative_error(estimate: Column, truth: Column) -> Column:
 
 def running_total(df: DataFrame, session: str, order: list[str], value: str) -> Column:
     return F.sum(value).over(Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def session_savings(queries: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Each session against its queries: tokens read, tokens of the queries' contexts, files of either and both, percent less; sessions without queries keep zeros.
+
+    sessions: session_id, tokens, files (array); queries: session_id, context_tokens, files (array).
+    """
+    q = queries.groupBy("session_id").agg(F.count("*").alias("queries"), F.sum("context_tokens").alias("context_tokens"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("files")))).alias("selected"))
+    none = F.array().cast("array<string>")
+    both = sessions.join(q, "session_id", "left").withColumns({"queries": F.coalesce("queries", F.lit(0)), "context_tokens": F.coalesce("context_tokens", F.lit(0)), "selected": F.coalesce("selected", none)})
+    less = F.when(F.col("tokens") > 0, F.round((1 - F.col("context_tokens") / F.col("tokens")) * 100, 2)).otherwise(0.0)
+    return both.select("session_id", "queries", "tokens", "context_tokens", less.alias("percent_less"), F.size(F.array_union("files", "selected")).alias("files_of_either"), F.size(F.array_intersect("files", "selected")).alias("files_of_both"))

@@ -175,6 +175,18 @@ def test_near_declarations(spark, graph):
     assert {r.id: r.name for r in near_declarations(found, graph.functions).collect()} == {1: "check", 2: "read", 3: None}
 
 
+def test_symbol_kinds(spark, graph):
+    from graphloom.operators.context import function_facts, symbol_kinds, unknown_symbols
+
+    asked = spark.createDataFrame([("shop/tools.py", "read", n) for n in ("req", "name", "check", "nothing", "return", "key")], "file string, function string, symbol string")
+    got = {r.symbol: r.kinds for r in symbol_kinds(graph, asked).collect()}
+    assert got == {"req": ["parameter"], "name": ["local"], "check": ["function"], "nothing": [], "return": ["builtin"], "key": []}
+    facts = function_facts(graph, "shop/tools.py", "read")
+    assert [r.variable for r in facts["tainted"].collect()] == ["name"] and facts["returns"].count() == 1
+    patch = spark.createDataFrame([("shop/tools.py", "read", ["req", "zap", "print"])], "file string, function string, identifiers array<string>")
+    assert [r.symbol for r in unknown_symbols(graph, patch).collect()] == ["zap"]
+
+
 def test_patches(spark, tree):
     from graphloom.operators import patches as P
 

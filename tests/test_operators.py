@@ -183,3 +183,19 @@ def test_windows_of_a_transcript(spark):
     steps = spark.createDataFrame([("s", i, q) for i, q in enumerate([False, True, False, False, True, False])], "session string, i int, q boolean")
     got = [r.window_id for r in telemetry.task_windows(steps, "session", ["i"], F.col("q")).orderBy("i").collect()]
     assert got == [0, 0, 1, 1, 1, 2]
+
+
+def test_session_savings(spark):
+    s = spark.createDataFrame([("a", 100, ["x", "y"]), ("b", 10, [])], "session_id string, tokens bigint, files array<string>")
+    q = spark.createDataFrame([("a", 10, ["y"]), ("a", 15, ["y", "z"])], "session_id string, context_tokens bigint, files array<string>")
+    got = {r.session_id: (r.queries, r.context_tokens, r.percent_less, r.files_of_either, r.files_of_both) for r in telemetry.session_savings(q, s).collect()}
+    assert got == {"a": (2, 25, 75.0, 3, 1), "b": (0, 0, 100.0, 0, 0)}
+
+
+def test_governance_order(spark):
+    from graphloom.operators import governance as G
+
+    rows = spark.createDataFrame([(True, True, 9, "fix the crash"), (False, True, 1, "add a test"), (False, False, 9, "rename it"), (False, False, 1, "hello")], "sec boolean, brk boolean, reach int, text string")
+    score = G.confidence({"tests_pass": F.lit(True), "security": F.col("sec"), "breaking": F.col("brk")})
+    got = [tuple(r) for r in rows.select(score, G.policy(score, F.col("sec"), F.col("brk"), F.col("reach")), G.intent(F.col("text")), G.risk(F.col("reach"))).collect()]
+    assert got == [(0.2, "BLOCK", "BUG_FIX", "HIGH"), (0.5, "MANUAL_REVIEW", "TEST", "MEDIUM"), (0.7, "MANUAL_REVIEW", "REFACTOR", "HIGH"), (0.7, "APPROVE", "OTHER", "MEDIUM")]
