@@ -14,12 +14,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Children of a node of the segment tree.
 FAN = 32
 #: Most stretches, and most pieces, whose tokens a worker remembers; then it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: A space between two white characters.
 WIDE = re.compile(r"\s \s")
 #: Texts of more characters are cut into pieces as a stream.
@@ -170,7 +170,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     chosen = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return chosen.mapInArrow(run, "doc_id bigint, n_tokens bigint, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string")
+    return small_batches(chosen).mapInArrow(run, "doc_id bigint, n_tokens bigint, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string")
 
 
 def public_files() -> tuple[str, str]:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 WORD = re.compile(r"[^\W_]+")
 #: Shortest tile in words, share of an item's words that tiles must cover, and most words of one block of items.
@@ -154,7 +154,7 @@ def contamination(
     empty text is clean; ids may be null or repeated; other columns are ignored; without items all documents are clean.
     """
     schema = "id bigint, t string, n bigint, best double, item bigint, tiles array<array<int>>"
-    out = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("best"), F.lit(None).cast("bigint").alias("item"), F.array().cast("array<array<int>>").alias("tiles"))
+    out = small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"), F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("best"), F.lit(None).cast("bigint").alias("item"), F.array().cast("array<array<int>>").alias("tiles"))
 
     def one(rows: list):
         sent = docs.sparkSession.sparkContext.broadcast(rows)
@@ -201,7 +201,7 @@ def drop_contaminated(
         return run
 
     for rows in blocks(benchmark, item_col, item_text_col, block_words):
-        docs = docs.mapInArrow(one(rows), docs.schema)
+        docs = small_batches(docs).mapInArrow(one(rows), docs.schema)
     return docs
 
 

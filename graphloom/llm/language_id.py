@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketching as S
-from .common import crc_mod, table
+from .common import crc_mod, small_batches, table
 
 #: Most training documents of a language (expected number), buckets of n-grams, longest n-gram in bytes, and margin below which a prediction is ambiguous.
 PER_LANGUAGE, BUCKETS, LONGEST, MARGIN = 1_500, 2048, 3, 0.1
@@ -115,7 +115,7 @@ def fit(docs: DataFrame, usable=None, id_col: str = "doc_id", text_col: str = "t
                     x = vectors(part.column("t"))
                     yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([v.tobytes() for v in x], pa.binary())], names=["lang", "x"])
 
-    got = drawn.mapInArrow(run, "lang string, x binary").toArrow()
+    got = small_batches(drawn).mapInArrow(run, "lang string, x binary").toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, BUCKETS)
     langs = got.column("lang").to_pylist()
     order = np.lexsort((x @ np.arange(BUCKETS, dtype=np.float32), langs))
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, coder: Coder | None, id_col: str = "doc_id", text_
                         unsure |= gap < MARGIN
                     yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(unsure)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id bigint, lang_pred string, score double, ambiguous boolean")
+    return small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id bigint, lang_pred string, score double, ambiguous boolean")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

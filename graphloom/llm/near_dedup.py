@@ -6,13 +6,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketching as S
-from .common import components, cut, table
+from .common import components, cut, small_batches, table
 
 #: Rows of a band.
 ROWS = 8
@@ -127,7 +126,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
     bands = band_count(percent)
-    sets = cut(base.mapInArrow(_sketch(k, bands), "id bigint, n bigint, k0 bigint, k1 bigint, bytes bigint, buckets array<bigint>"))
+    sets = cut(small_batches(base).mapInArrow(_sketch(k, bands), "id bigint, n bigint, k0 bigint, k1 bigint, bytes bigint, buckets array<bigint>"))
     classes = sets.where("n > 0 and id is not null").groupBy("k0", "k1").agg(F.min("id").alias("lead"))
     leaders = sets.select("k0", "k1", "id", "bytes", "buckets").join(classes.withColumnRenamed("lead", "id"), ["k0", "k1", "id"])
     member = leaders.select("id", F.explode("buckets").alias("bucket"))
@@ -160,8 +159,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), percent=85).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-def reference_components(rows: list[tuple[int, str | None]], k: int, percent: int) -> pd.DataFrame:
+def reference_components(rows: list[tuple[int, str | None]], k: int, percent: int) -> "pandas.DataFrame":  # noqa: F821
     """The same by brute force over all pairs, on the word tuples themselves; for tests on small tables."""
+    import pandas as pd
+
     def shingles(text: str | None) -> frozenset:
         w = (text or "").encode().lower().split()
         return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()

@@ -160,7 +160,7 @@ def fast_similarity_sketch(row: np.ndarray, value: np.ndarray, rows: int, t: int
     return out
 
 
-def slices(table: pa.RecordBatch, column: str, most: int = 4 << 20):
+def slices(table: pa.RecordBatch, column: str, most: int = 1 << 20):
     """The batch in runs of rows whose texts have at most `most` bytes together; a longer text is alone."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(table.column(column)), 0).to_numpy(zero_copy_only=False)
     start = held = 0

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketching as S
-from .common import crc_mod, cut, table
+from .common import crc_mod, cut, small_batches, table
 
 #: Most labelled rows that the model is fitted on, chosen by a hash of their id; most lexicon terms; score from which a document is rejected.
 SAMPLE, TERMS, REJECT = 12_000, 400, 0.7
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id",
         terms = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], names=["term", "toxic", "clean"])
 
-    counted = cut(texts.where("part < 3").mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(f"term = '' or toxic >= {LEAST}"))
+    counted = cut(small_batches(texts).where("part < 3").mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(f"term = '' or toxic >= {LEAST}"))
     whole = counted.where("term = ''").first()
     terms = {w + "|": TIERS[0] + 1 for w in INSULTS}
     if whole is not None:
@@ -249,7 +249,7 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             for part in S.slices(batch, "t"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(features(part, "t", lexicon)))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id bigint, score double")
+    return small_batches(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id bigint, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject: float = REJECT) -> DataFrame:
@@ -263,7 +263,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", reject: fl
             keep = [model.score(features(part, "t", lexicon)) < reject for part in S.slices(bare, "t")]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def learnable(column: str = "doc_id"):
