@@ -35,7 +35,7 @@ FIND_SQL = f"""WITH {PARTS_SQL}, n AS (SELECT DISTINCT file, name, class FROM f)
 s AS (SELECT *, list_distinct(list_filter(string_split(name, '_'), lambda x: length(x) >= 3)) AS subs FROM n),
 t AS (SELECT count(*) AS total FROM n), d AS (SELECT word, count(*) AS df FROM (SELECT file, name, class, unnest(list_distinct(list_concat([name], subs))) AS word FROM s) GROUP BY word),
 q AS (SELECT word, greatest(0.15, 1 - ln(1 + df) / ln(1 + total)) AS idf FROM d, t WHERE word IN ('fix', 'small', 'ring', 'economy')),
-c AS (SELECT file, 'symbol' AS kind, 6 * greatest(0.25, coalesce(idf, 1.0)) AS points FROM (SELECT DISTINCT file, lower(class) AS low FROM s WHERE lower(class) = 'economy') LEFT JOIN q ON q.word = low),
+c AS (SELECT file, 'symbol' AS kind, 6 * greatest(0.25, coalesce(idf, 1.0)) AS points FROM (SELECT DISTINCT file, lower(class) AS low FROM s WHERE lower(class) IN ('fix', 'small', 'ring', 'economy')) LEFT JOIN q ON q.word = low),
 u AS (SELECT file, 'sub' AS kind, 2 * sum(idf) AS points FROM (SELECT file, name, class, len(subs) AS n, unnest(list_filter(subs, lambda x: x IN ('fix', 'small', 'ring', 'economy'))) AS word FROM s) JOIN q USING (word)
       GROUP BY file, name, class, n HAVING count(*) >= 2 OR (n = 1 AND max(idf) > 0.6)),
 b AS (SELECT DISTINCT file, 'name' AS kind, 3.0 AS points FROM s WHERE contains(regexp_extract(file, '([^/]+?)\\.[^./]*$', 1), 'small') OR contains(regexp_extract(file, '([^/]+?)\\.[^./]*$', 1), 'ring') OR contains(regexp_extract(file, '([^/]+?)\\.[^./]*$', 1), 'economy')),
