@@ -167,3 +167,27 @@ def test_line_dedup_edges(spark):
     got = sorted((r.id or 0, r.n_lines, r.n_kept) for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
     assert got == [(0, 1, 1), (0, 1, 1), (1, 1, 1), (2, 1, 0), (2, 1, 0)]
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
+
+
+LONG = "the harbour keeps its boats under canvas until the storms of march have passed and the nets are dry again"
+
+
+def unspaced():
+    """Pairs of lines without spaces (or with tabs): equal in their first eight characters, and near copies that differ in an early one."""
+    draw = random.Random(8)
+    tail = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789/") for _ in range(90)) for _ in range(6)]
+    kana = "".join(chr(0x3042 + draw.randrange(80)) for _ in range(90))
+    other = "".join(chr(0x3042 + draw.randrange(80)) for _ in range(90))
+    third = "".join(chr(0x3042 + draw.randrange(80)) for _ in range(90))
+    far = [("https://example.com/a/1", "https://example.com/b/2"), ("https://" + tail[0], "https://" + tail[1]), ("id\tname\t" + tail[0].replace("/", "\t"), "id\tname\t" + tail[1].replace("/", "\t")), ("日本語の文章です。" + kana, "日本語の文章です。" + other), ("10 oranges", "20 oranges"), ("𝔘𝔫𝔦𝔠𝔬𝔡𝔢𝔰" + tail[2], "𝔘𝔫𝔦𝔠𝔬𝔡𝔢𝔰" + tail[3])]
+    near = [("x" + tail[4], "y" + tail[4]), ("日" + third, "本" + third), ("a\t" + tail[5].replace("/", "\t"), "b\t" + tail[5].replace("/", "\t")), (LONG, LONG.replace("boats", "boots"))]
+    return far, near
+
+
+def test_line_dedup_sees_every_character(spark):
+    far, near = unspaced()
+    rows = [(i, line) for i, line in enumerate(line for pair in far + near for line in pair)]
+    got = {r.id: r.n_kept for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(2 * len(far))] == [1] * 2 * len(far)
+    assert [got[2 * len(far) + i] for i in range(2 * len(near))] == [1, 0] * len(near)
+    assert {i: t for i, t in line_dedup.reference_lines(rows).items() if t} == {i: t for i, t in rows if got[i]}
