@@ -110,7 +110,7 @@ class _Reader:
         for i, (kind, word, _, _) in enumerate(self.tokens):
             if kind == "string":
                 if len(word) > 2:
-                    self.add("LITERAL", i, i, text=word[1:-1][:200])
+                    self.add("LITERAL", i, i, text=word[1:-1])
                 continue
             if kind != "name":
                 continue
@@ -124,9 +124,9 @@ class _Reader:
                 self._reexport(i)
             elif word == "return" and self.text(i + 1) not in (";", "}", ""):
                 end = self._statement_end(i)
-                self.add("RETURN_VALUE", i, end, value=self.between(i + 1, end)[:500])
+                self.add("RETURN_VALUE", i, end, value=self.between(i + 1, end))
             elif word == "throw":
-                self.add("ERROR", i, self._statement_end(i), throw=self.between(i + 1, self._statement_end(i))[:200])
+                self.add("ERROR", i, self._statement_end(i), throw=self.between(i + 1, self._statement_end(i)))
             elif self.text(i + 1) == "(" and word not in NOT_CALLS and not word.startswith("@") and i + 1 in self.match:
                 self._call(i, word)
             if word in ("const", "let", "var") or (self.java and self.text(i + 2) == "=" and word[:1].isupper()):
@@ -177,7 +177,7 @@ class _Reader:
             raw = self.between(a, b)
             if self.text(a) == "{":
                 keys = [k for x, y in self.parts(a) if (k := re.split(r"[:=\s]", self.between(x, y))[0])]
-                self.add("PARAMETER", a, b, name=raw[:80], pos=str(pos), group="destructured", keys=keys)
+                self.add("PARAMETER", a, b, name=raw, pos=str(pos), group="destructured", keys=keys)
             elif self.text(a) == "...":
                 self.add("PARAMETER", a, b, name=self.text(a + 1), pos=str(pos), group="rest")
             elif self.java:
@@ -232,7 +232,7 @@ class _Reader:
                 if req:
                     self.add("IMPORT", i, end, source=req[1], local=(alias or name).strip(), name=name.strip())
                 else:
-                    self.add("DESTRUCTURE", i, end, local=(alias or name).strip(), source=m[2][:200], function=name.strip())
+                    self.add("DESTRUCTURE", i, end, local=(alias or name).strip(), source=m[2], function=name.strip())
             return
         m = re.match(r"(?:const|let|var|[\w$<>,]+)\s+([\w$]+)\s*(?::\s*([\w$]+)[^=]*)?=\s*([\s\S]*)", raw)
         if not m:
@@ -248,7 +248,7 @@ class _Reader:
             self.add("VARIABLE_TYPE", i, end, variable=name, type=kind or made[1])
         if re.fullmatch(r"[\w$]+", value.strip()):
             self.add("ALIAS", i, end, alias=name, original=value.strip())
-        self.add("VARIABLE_STATE", i, end, variable=name, value=value[:500])
+        self.add("VARIABLE_STATE", i, end, variable=name, value=value)
 
     def _call(self, i: int, word: str) -> None:
         end = self.match[i + 1]
@@ -264,14 +264,14 @@ class _Reader:
         parts = self.parts(i + 1)
         self.add("CALL", i, end, call_id=call, name=word, receiver=receiver, args=str(len(parts)), new="true" if new else None)
         for pos, (a, b) in enumerate(parts):
-            self.add("ARGUMENT", a, b, call_id=call, function=word, pos=str(pos), value=self.between(a, b)[:300])
+            self.add("ARGUMENT", a, b, call_id=call, function=word, pos=str(pos), value=self.between(a, b))
         if receiver in ("router", "app") and word in VERBS and len(parts) >= 2 and self.tokens[parts[0][0]][0] == "string":
             values = [self.between(a, b) for a, b in parts]
-            self.add("ROUTE", i, end, method=word.upper(), path=values[0][1:-1], router=receiver, handler=values[-1][:120], middlewares=[v[:120] for v in values[1:-1]])
+            self.add("ROUTE", i, end, method=word.upper(), path=values[0][1:-1], router=receiver, handler=values[-1], middlewares=values[1:-1])
         if receiver and re.fullmatch(r"find\w*|create|save|update\w*|delete\w*|insert\w*|aggregate|query|count\w*", word):
             first = self.between(*parts[0]) if parts else ""
             table = re.search(r"(?i)\b(?:from|into|update)\s+[`\"']?(\w+)", first)
-            self.add("DATABASE_OP", i, end, operation=word, model=table[1] if table else receiver.split(".")[-1], query=first[:300] if word == "query" else None, connection=receiver)
+            self.add("DATABASE_OP", i, end, operation=word, model=table[1] if table else receiver.split(".")[-1], query=first if word == "query" else None, connection=receiver)
 
 
 def extract(file: str, source: str, is_test: bool = False) -> Iterator[dict]:

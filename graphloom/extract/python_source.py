@@ -148,9 +148,9 @@ class _Extractor(ast.NodeVisitor):
                 self.add("VARIABLE_TYPE", node, variable=name, from_call=self.call_id(value))
             if isinstance(value, ast.Dict) and value.values and all(isinstance(v, ast.Name) for v in value.values):
                 self.add("CONSTANT", node, name=name, kind="dispatch_table", targets=[v.id for v in value.values])
-            self.add("VARIABLE_STATE", node, variable=name, value=self.text(value)[:500])
+            self.add("VARIABLE_STATE", node, variable=name, value=self.text(value))
             if not self.scopes and isinstance(names[0], ast.Name):
-                self.add("CONSTANT", node, name=name, value=self.text(value)[:200], kind="module")
+                self.add("CONSTANT", node, name=name, value=self.text(value), kind="module")
 
     def visit_Assign(self, node: ast.Assign) -> None:
         self._assign(node, node.targets, node.value)
@@ -163,17 +163,17 @@ class _Extractor(ast.NodeVisitor):
 
     def visit_Return(self, node: ast.Return) -> None:
         if node.value is not None:
-            self.add("RETURN_VALUE", node, value=self.text(node.value)[:500], from_call=self.call_id(node.value) if isinstance(node.value, ast.Call) else None)
+            self.add("RETURN_VALUE", node, value=self.text(node.value), from_call=self.call_id(node.value) if isinstance(node.value, ast.Call) else None)
         self.generic_visit(node)
 
     def visit_Raise(self, node: ast.Raise) -> None:
         if node.exc is not None:
-            self.add("ERROR", node, throw=self.text(node.exc)[:200])
+            self.add("ERROR", node, throw=self.text(node.exc))
         self.generic_visit(node)
 
     def visit_Constant(self, node: ast.Constant) -> None:
         if isinstance(node.value, str):
-            self.add("LITERAL", node, text=node.value[:200])
+            self.add("LITERAL", node, text=node.value)
 
     def _implicit(self, node: ast.AST, target: ast.AST, method: str) -> None:
         if isinstance(target, (ast.Name, ast.Attribute)):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.extract import brace_source, python_source
+from graphloom.extract.schema import MATCHES
 from graphloom.operators import build as B
 from graphloom.operators import impact
 from graphloom.operators.symbols import TargetError, resolve_target
@@ -277,3 +278,23 @@ def test_engine_answers(spark, tree, tmp_path_factory):
     (root / "src/shop/tools.py").write_text(REPO["shop/tools.py"] + "\n\ndef extra():\n    return check(1)\n")
     assert engine.build_graph()["changed"] == ["shop/tools.py"]
     assert {"extra"} <= {e["src"]["function"] for e in engine.impact("FUNCTION:shop/tools.py:check")["upstream"]}
+
+
+def test_long_source_texts_are_whole(spark):
+    """What stands after many characters of a value, argument, return, handler or query counts like what stands before."""
+    filler = ", ".join(f"k{i}: {i}" for i in range(200))
+    script = f"""
+function store(item) {{ db.save(item); }}
+function late(req) {{ const row = {{ {filler}, body: req.body }}; store({{ {filler}, body: req.body }}); db.query(`SELECT {"x, " * 200} last_column FROM items`); return {{ {filler}, last: 1 }}; }}
+function clean(req) {{ const safe = {{ {filler}, early: req.body, late: sanitize(req.query) }}; db.save(safe); }}
+router.get('/x', (req, res) => {{ res.send({{ {filler}, last: 1 }}); }});
+"""
+    module = f"def late():\n    row = [{', '.join(map(str, range(300)))}, request.args]\n    return [{', '.join(map(str, range(300)))}, 'last']\n"
+    rows = [*brace_source.extract("a.js", script), *python_source.extract("b.py", module)]
+    g = B.declarations(spark.createDataFrame(rows, MATCHES))
+    states = {(r.file, r.variable): (r.tainted, r.sanitized) for r in g["variable_states"].collect()}
+    assert states == {("a.js", "row"): (True, False), ("a.js", "safe"): (False, True), ("b.py", "row"): (True, False)}
+    assert any("req.body" in r.value for r in g["arguments"].where("function = 'store'").collect())
+    assert g["database_ops"].where("operation = 'query'").first().query.endswith("last_column FROM items`")
+    assert all("last" in r.value for r in g["returns"].collect()) and g["returns"].count() == 2
+    assert "last: 1" in g["routes"].first().handler
