@@ -191,3 +191,7 @@ def test_line_dedup_sees_every_character(spark):
     assert [got[i] for i in range(2 * len(far))] == [1] * 2 * len(far)
     assert [got[2 * len(far) + i] for i in range(2 * len(near))] == [1, 0] * len(near)
     assert {i: t for i, t in line_dedup.reference_lines(rows).items() if t} == {i: t for i, t in rows if got[i]}
+
+
+def test_line_dedup_bands_miss_hardly_any_pair_at_the_threshold():
+    assert (1 - 0.8**line_dedup.ROWS) ** line_dedup.RANGES <= 1e-5
