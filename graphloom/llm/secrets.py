@@ -8,6 +8,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 ENDPOINT = re.compile(r"""(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3|sftp|ftp)://[^\s"'<>]{4,}|(?<![A-Za-z0-9.])(?:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?([A-Za-z0-9.-]+(?::\d+)?)""", re.ASCII | re.IGNORECASE)
 
 KINDS = ["assign", "access", "hex", "key_id", "weak_secret", "endpoint"]
-#: Parts belong together within one paragraph and so many characters; least bits a character of an opaque string.
+#: Parts belong together within one paragraph and a gap of so many characters; least bits a character of an opaque string.
 REACH, ENTROPY = 400, 3.5
 
 Span = tuple[int, int, int]
@@ -52,7 +53,7 @@ def paragraphs(text: str) -> list[int]:
 def linked_spans(text: str, base: list[Span]) -> list[Span]:
     """Weak candidates whose complementary parts stand in the same scope.
 
-    Identifiers, secrets and endpoints are intervals; those of one paragraph that begin within REACH characters of each other are joined by a sorted search, so the cost is n log n in the
+    Identifiers, secrets and endpoints are intervals; those of one paragraph with a gap of REACH characters or fewer between them are joined by a sorted search, so the cost is n log n in the
     candidates and no pairs are built. A weak secret needs an identifier or an endpoint; a weak identifier needs a secret; an endpoint needs both an identifier and a secret.
     Base spans count as strong parts. A weak candidate inside a base span is not one.
     """
@@ -84,13 +85,14 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     scopes = paragraphs(text)
 
     def near(spans: list[Span]):
-        places = sorted(s for s, _, _ in spans)
+        held = sorted(spans)
+        places, last = [s for s, _, _ in held], list(accumulate((e for _, _, e in held), max))
 
         def there(s: int, e: int) -> bool:
             k = bisect.bisect_right(scopes, s) - 1
-            low, high = max(scopes[k], s - REACH), min(scopes[k + 1] - 1 if k + 1 < len(scopes) else len(text), e + REACH)
-            at = bisect.bisect_left(places, low)
-            return at < len(places) and places[at] <= high
+            high = min(scopes[k + 1] - 1 if k + 1 < len(scopes) else len(text), e + REACH)
+            at = bisect.bisect_right(places, high)
+            return at > 0 and last[at - 1] > scopes[k] and last[at - 1] >= s - REACH  # no span goes over a blank line
 
         return there
 

@@ -144,6 +144,15 @@ def test_weak_parts_are_linked_only_together():
     assert kinds("password=hunter22 user=alice") == ["assign", "key_id"]
 
 
+def test_gaps_are_measured_between_the_ends_of_parts():
+    long = "Ab3" * 200
+    assert kinds(f"password={long} {'x ' * 100} user = alice") == ["assign", "key_id"]
+    assert kinds(f"user = alice {'x ' * 100} password={long}") == ["key_id", "assign"]
+    assert kinds(f"{WEAK * 30} {'x ' * 100} user = alice") == ["weak_secret", "key_id"]
+    assert kinds(f"password={long}\n\nuser = alice") == ["assign"]
+    assert kinds(f"password={long} {'x ' * 300} user = alice") == ["assign"]
+
+
 def test_secret_edges(spark):
     docs = spark.createDataFrame([(1, None, 0), (None, "é password=hunter22", 0), (1, "", 0)], "doc_id bigint, text string, spans int")
     got = {(r.doc_id, tuple((s.kind, s.start, s.end, s.base) for s in r.spans)) for r in secrets.scan(docs).collect()}
