@@ -56,6 +56,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def tail_of(url: Column) -> Column:
+    """What follows host and path: the query and the fragment, with their signs."""
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1), F.lit(""))
+
+
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column:
     """The name of the longest rule that fits, else null; of equally long ones the first by name."""
     ranked = sorted(rules, key=lambda r: (-len(r.name), r.name))
@@ -97,17 +102,17 @@ def log_model(counts: np.ndarray) -> np.ndarray:
 
 def _with_rule(pages: DataFrame, id_col: str, url_col: str, rules: tuple[Rule, ...]) -> DataFrame:
     bare = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
-    split = bare.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    split = bare.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tail_of(F.col("url")).alias("tail"))
     ruled = split.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = {r.name: r.verdict for r in rules}
     by_rule = F.create_map(*[F.lit(x) for pair in verdict.items() for x in pair])[F.col("rule")] if rules else F.lit(None).cast("string")
-    return ruled.withColumn("by_rule", by_rule).withColumn("u", F.concat("host", "path"))
+    return ruled.withColumn("by_rule", by_rule).withColumn("u", F.concat("host", "path", "tail")).drop("tail")
 
 
 def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """A verdict on every url: the longest fitting rule's, else that of the models.
 
-    Two models of characters are counted over all urls that a rule allows or blocks (host and path; every fifth, by a hash of the url, is left out). The counts are summed per
+    Two models of characters are counted over all urls that a rule allows or blocks (host, path, query and fragment; every fifth, by a hash of them, is left out; rules see host and path only). The counts are summed per
     partition and then over the cluster; there are ALPHABET**ORDER grams at most, whatever the number of urls, so the tables that are sent to the driver and
     to the workers are bounded (a float for each gram). The score of a url is the mean over its characters of log P(allowed) - log P(blocked). The urls left out give, as a histogram of all their
     scores, the threshold with the least mean error of the two classes; without such urls of both classes it is 0. Urls that score the threshold or more are allowed.

@@ -1,5 +1,7 @@
 """Toxicity, language and URL models: held-out quality, calibration, edge cases."""
 
+import random
+
 import duckdb
 import numpy as np
 import pytest
@@ -138,3 +140,14 @@ def test_url_model_separates(spark):
     pages = spark.createDataFrame(rows + fresh, "page_id bigint, url string")
     got = {r.id: r.verdict for r in url_filter.judge_urls(pages).where(F.col("id") >= 5000).collect()}
     assert got == {5000: "block", 5001: "allow"}
+
+
+def test_url_models_see_query_and_fragment(spark):
+    """Urls of two kinds that differ only after their path get verdicts of their own."""
+    draw = random.Random(6)
+    number = lambda: draw.randrange(10**6)
+    rows = [(i, f"http://{'www.example.net/en/' if i % 2 else 'www.site.net/'}?{'article=news' if i % 2 else 'casino=bonus'}&n={number()}#{'text' if i % 2 else 'win'}") for i in range(3000)]
+    pairs = [(5000 + i, f"http://other.test/page?{'article=news' if i % 2 else 'casino=bonus'}&n={number()}#{'text' if i % 2 else 'win'}") for i in range(40)]
+    got = {r.id: r for r in url_filter.judge_urls(spark.createDataFrame(rows + pairs, "page_id bigint, url string")).where(F.col("id") >= 5000).collect()}
+    assert {r.path for r in got.values()} == {"/page"}
+    assert [got[5000 + i].verdict for i in range(40)] == ["block", "allow"] * 20
