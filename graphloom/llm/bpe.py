@@ -20,8 +20,8 @@ from .common import small_batches, table
 FAN = 32
 #: Most stretches, and most pieces, whose tokens a worker remembers; then it starts afresh.
 REMEMBERED = 400_000
-#: A space between two white characters.
-WIDE = re.compile(r"\s \s")
+#: A space between two white characters, or after one at the end of the text.
+WIDE = re.compile(r"\s (?:\s|\Z)")
 #: Texts of more characters are cut into pieces as a stream.
 STREAM_CHARS, STREAM_PIECES = 1 << 20, 1 << 16
 
@@ -93,9 +93,9 @@ class _Memory(dict):
 class Codec:
     """Encoder and decoder of one vocabulary.
 
-    A text is first cut at single spaces. Where a space has white space on at most one side, the pattern puts a boundary before it whatever
-    stands around, so each stretch, with its leading space, is cut into pieces by itself, and a worker remembers the tokens of
-    stretches. Texts with a space between two white characters, and very long ones, are matched as a whole.
+    A text is first cut at single spaces. Where a space has white space on at most one side, and isn't the end of white space that ends the text, the
+    pattern puts a boundary before it whatever stands around, so each stretch, with its leading space, is cut into pieces by itself, and a worker remembers the tokens of
+    stretches. Texts with a space between two white characters, or with white space before a space at their end, and very long ones, are matched as a whole.
     """
 
     def __init__(self, path: str, pattern: str):

@@ -1,5 +1,6 @@
 """BPE, decontamination, secrets and sharding against brute force, and their edge cases."""
 
+import base64
 import hashlib
 import random
 import zlib
@@ -39,6 +40,15 @@ def test_bpe_of_long_pieces_and_streams(monkeypatch):
     assert said == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and back == hashlib.sha256(text.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("text", ["a  ", "x\n ", "x\t ", "  ", "   ", "a b  ", "a ", " ", "a\u2003 "])
+def test_bpe_pieces_at_the_end_do_not_depend_on_the_vocabulary(tmp_path, text):
+    tokens = [bytes([b]) for b in range(256)] + [b"  ", b"\n ", b"\t ", b"   "]
+    (tmp_path / "own").write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens)))
+    own = bpe.Codec(str(tmp_path / "own"), PATTERN)
+    truth = tiktoken.Encoding("small", pat_str=PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    assert own.encode(text) == truth.encode_ordinary(text)
+
+
 def test_bpe_query(spark):
     texts = dict(duckdb.sql(f"select doc_id, text from '{MID}/documents.parquet'").fetchall())
     got = QUERIES["op4_byte_bpe"](spark, MID).collect()
