@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketching as S
-from .common import components, cut, small_batches, table
+from .common import apart, components, cut, deal, open_groups, small_batches, table, tasks, unused
 
 #: Rows of a band.
 ROWS = 8
@@ -88,6 +88,7 @@ def forest(ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nda
 
 
 def _verify(k: int, percent: int):
+    """Links between the documents of block i and those of block j of one group, as a spanning forest."""
     def run(group: pa.Table) -> pa.Table:
         data, offsets = S.string_buffers(group.column("t"))
         row, value = S.distinct(*_shingles(data, offsets, k)[::-1])
@@ -96,7 +97,10 @@ def _verify(k: int, percent: int):
         size = np.bincount(row, minlength=n)
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        inter = common_counts(row, value, n, left, right)
+        if len(right) == 1:
+            inter = np.bincount(row[np.isin(value, value[row == right[0]])], minlength=n)[left][:, None]
+        else:
+            inter = common_counts(row, value, n, left, right)
         union = size[left][:, None] + size[right][None, :] - inter
         a, b = np.nonzero((100 * inter >= percent * union) & (inter > 0))
         a, b = left[a], right[b]
@@ -107,6 +111,31 @@ def _verify(k: int, percent: int):
     return run
 
 
+def links(texts: DataFrame, clusters: DataFrame, member: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges a, b that join what the similar pairs of each cluster join.
+
+    texts: component, node, bytes, t, checkpointed. First all documents of a cluster are compared with its lead, one row a document; that settles most
+    clusters. The pairs that still matter (see open_groups) are compared block by block, each pair of blocks in a task of its own.
+    """
+    parts = tasks(texts.sparkSession)
+    verify = lambda rows: rows.select("component", "part", F.col("node").alias("id"), "t", "block", "i", "j").repartition(parts, "component", "part", "i", "j").groupBy("component", "part", "i", "j").applyInArrow(_verify(k, percent), "a bigint, b bigint")
+    sizes = texts.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).alias("blocks"))
+    lead, far = F.col("node") == F.col("component"), F.lit(-1).cast("bigint")
+    dealt = texts.join(apart(sizes, "component"), "component").withColumn("own", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")))
+    star = dealt.select("component", F.lit(0).cast("bigint").alias("part"), "node", "t", F.when(lead, far).otherwise(F.col("own")).alias("block"), F.explode(F.when(lead, F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("i"), far.alias("j"))
+    first = cut(verify(star))
+    narrow = texts.select("component", "node")
+    rest = narrow.where(~lead).join(first.select(F.col("a").alias("node")), "node", "left_anti")
+    todo = open_groups(narrow.distinct(), rest.select("node").distinct(), member.select(F.col("id").alias("node"), "bucket"), BLOCK)
+    if todo.isEmpty():
+        return first
+    placed = deal(todo.join(texts.select("node", "bytes", "t"), "node"), BLOCK, "bytes", BLOCK_BYTES)
+    reach = F.when(F.col("rest") == 1, F.col("blocks")).otherwise(F.col("own"))
+    pairs = placed.select("component", "part", "node", "t", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), reach - 1)).alias("other"))
+    pairs = pairs.select("component", "part", "node", "t", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return first.unionByName(verify(pairs))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose sets of k-word shingles have a Jaccard similarity of percent / 100 or more.
 
@@ -114,44 +143,41 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     2. Documents with equal sets form a class; only its smallest id goes on, so exact copies cost one row whatever their number.
     3. Classes that share a bucket of a band are tied to the smallest id of the bucket; the components of these ties are the candidate
        clusters. No pair is written: a bucket gives one row a member.
-    4. A cluster is dealt into blocks of at most about BLOCK documents and BLOCK_BYTES bytes and each pair of blocks is one group: all similarities
-       between them are computed exactly from the full sets, and a spanning forest of the links is returned. So no task holds an unbounded cluster.
-       Work within one cluster grows with the square of its number of different texts, divided by the block, since every pair can be a link.
+    4. Similarities are computed exactly from the full sets. First every document of a cluster is compared with the cluster's lead. Only documents that aren't similar to it go on: they
+       are compared with all others of the cluster, or of their buckets where that is less work, in blocks of at most about BLOCK documents and BLOCK_BYTES
+       bytes. A task holds two blocks and returns a spanning forest of the links between them. A cluster of true copies so costs one comparison a document.
     5. The components of these links, by distributed contraction.
 
-    A pair at the threshold is missed by step 3 with a chance of MISS at most, unless other links join it anyway.
+    Shingles are compared by 64-bit hashes (polynomials of words, modulo 2**64, finalised; two different shingles of a pair of texts of n shingles collide with a chance of about n**2 / 2**64 unless
+    they were made to), and sets are taken as equal on two 64-bit sums. A pair at the threshold is missed by step 3 with a chance of MISS at most, unless other links join it anyway.
     Returns id, n_shingles, component_id (smallest id reachable), kept (id = component_id), one row per row of docs. Texts that are null or without words
     have an empty set and are linked with nothing. Rows without id take no part: component_id is null and kept true. Repeated rows get the
     same result each; other columns of docs are ignored.
     """
-    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
+    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
     bands = band_count(percent)
     sets = cut(small_batches(base).mapInArrow(_sketch(k, bands), "id bigint, n bigint, k0 bigint, k1 bigint, bytes bigint, buckets array<bigint>"))
     classes = sets.where("n > 0 and id is not null").groupBy("k0", "k1").agg(F.min("id").alias("lead"))
     leaders = sets.select("k0", "k1", "id", "bytes", "buckets").join(classes.withColumnRenamed("lead", "id"), ["k0", "k1", "id"])
     member = leaders.select("id", F.explode("buckets").alias("bucket"))
     meeting = member.groupBy("bucket").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("top > b").select("bucket", "b")
-    ties = member.join(meeting, "bucket").select(F.col("id").alias("a"), "b").where("a <> b")
+    ties = member.join(apart(meeting, "bucket"), "bucket").select(F.col("id").alias("a"), "b").where("a <> b")
     clusters = cut(components(ties))
-    narrow = leaders.select("k0", "k1", "id", "bytes").join(clusters.select(F.col("node").alias("id"), "component"), "id")
-    spread = narrow.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).alias("blocks"))
-    dealt = narrow.join(spread, "component").select("id", "k0", "k1", "component", "blocks", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("blocks")).alias("block"))
-    texts = base.where("id is not null and t is not null")
-    with_text = dealt.drop("k0", "k1").join(texts.withColumn("digest", F.xxhash64("t")), "id").dropDuplicates(["id", "digest"])
-    pairs = with_text.select("component", "id", "block", "t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("component", "id", "block", "t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    links = pairs.groupBy("component", "i", "j").applyInArrow(_verify(k, percent), "a bigint, b bigint")
-    linked = components(links)
+    narrow = leaders.select("id", "bytes").join(clusters.select(F.col("node").alias("id"), "component"), "id").dropDuplicates(["id"])
+    texts = base.where("id is not null and t is not null").withColumn("digest", F.xxhash64("t"))
+    with_text = cut(narrow.join(texts, "id").dropDuplicates(["id", "digest"]).select("component", F.col("id").alias("node"), "bytes", "t"))
+    linked = components(links(with_text, clusters, member, k, percent))
     labels = classes.join(linked.select(F.col("node").alias("lead"), "component"), "lead", "left").select("k0", "k1", F.coalesce("component", "lead").alias("component"))
-    out = sets.select("id", "n", "k0", "k1").join(labels, ["k0", "k1"], "left")
+    out = sets.select("id", "n", "k0", "k1").join(apart(labels, "k0", "k1"), ["k0", "k1"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
     return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, the smallest id. Rows that share an id stay or go together; rows without id stay."""
-    gone = near_dedup(docs, id_col, text_col, k, percent).where("not kept").select(F.col("id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
+    """docs with one document of each component, the smallest id, all columns as they were. Rows that share an id stay or go together; rows without id stay, and so do null and empty texts."""
+    name = unused(docs)
+    gone = near_dedup(docs, id_col, text_col, k, percent).where("not kept").select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(name), "left_anti")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
