@@ -66,12 +66,14 @@ def unused(df: DataFrame, name: str = "found") -> str:
 
 
 def apart(df: DataFrame, *keys: str) -> DataFrame:
-    """df with its (bigint) keys passed through an expression that hides how it is partitioned.
+    """df with its keys passed through explode, which hides how it is partitioned.
 
     What an aggregate gives is already partitioned by its key, so a join on it would reuse that and could not be split. Joined as `apart`, both sides are shuffled for
     the join alone, and adaptive execution deals the rows of a hot key on the other side over many tasks.
     """
-    return df.withColumns({k: F.col(k).bitwiseXOR(F.lit(0).cast("bigint")) for k in keys})
+    for key in keys:
+        df = df.select(*[c for c in df.columns if c != key], F.explode(F.array(key)).alias(key))
+    return df
 
 
 def tasks(spark: SparkSession) -> int:
@@ -97,7 +99,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         # large star: every larger neighbour of u is tied to the smallest of u and its neighbours
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("edge")).select("edge.*")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(apart(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: u and its smaller neighbours are tied to the smallest of them
@@ -110,7 +112,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = mark_now
     else:
         raise RuntimeError("the components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return now.select(F.explode(F.array("a", "b")).alias("node"), F.col("b").alias("component")).distinct()
 
 
 def open_groups(clusters: DataFrame, rest: DataFrame, member: DataFrame, block: int) -> DataFrame:
