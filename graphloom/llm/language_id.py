@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,11 +13,10 @@ from pyspark.sql import functions as F
 from . import sketching as S
 from .common import crc_mod, small_batches, table
 
-#: Most training documents of a language (expected number), buckets of n-grams, longest n-gram in bytes, and margin below which a prediction is ambiguous.
-PER_LANGUAGE, BUCKETS, LONGEST, MARGIN = 1_500, 2048, 3, 0.1
+#: Most training documents of a language and of all languages (expected numbers), buckets of n-grams, longest n-gram in bytes, and margin below which a prediction is ambiguous.
+PER_LANGUAGE, TRAINING, BUCKETS, LONGEST, MARGIN = 1_500, 24_000, 2048, 3, 0.1
 #: Up to so many languages every split is a bit of the code; beyond, BITS random ones are drawn.
 EXHAUSTIVE, BITS = 6, 47
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -96,8 +94,8 @@ class Coder:
         return share / share.sum(axis=1, keepdims=True), ranked[:, 1] - ranked[:, 0]
 
 
-def fit(docs: DataFrame, usable=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Coder | None:
-    """Classifiers from about `per_language` documents of each language at most (parameter of the fit; whole texts), drawn by a hash of the id at a rate that the count of the language
+def fit(docs: DataFrame, usable=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, training: int = TRAINING) -> Coder | None:
+    """Classifiers from about `per_language` documents of each language at most, and `training` in all (parameters of the fit, which bound what comes to the driver: 8 KB a document; whole texts), drawn by a hash of the id at a rate that the count of the language
     sets, so rare languages are kept whole. usable: a condition on docs' columns for rows that may be learned from. Null languages, ids and texts are left out; None if nothing is left."""
     chosen = docs.where(usable) if usable is not None else docs
     chosen = chosen.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and t is not null and lang is not null")
@@ -105,7 +103,7 @@ def fit(docs: DataFrame, usable=None, id_col: str = "doc_id", text_col: str = "t
     if not counts:
         return None
     unit = 1 << 30
-    rate = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(unit, per_language * unit // n))])[F.col("lang")]
+    rate = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(unit, min(per_language, training // len(counts) + 1) * unit // n))])[F.col("lang")]
     drawn = chosen.where(F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(unit)) < rate).select("t", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +134,7 @@ def identify(docs: DataFrame, coder: Coder | None, id_col: str = "doc_id", text_
         for batch in batches:
             for at in range(0, len(batch), 128):
                 for part in S.slices(batch.slice(at, 128), "t"):
-                    known = np.array([coder is not None and t is not None and LETTER.search(t) is not None for t in part.column("t").to_pylist()], bool)
+                    known = np.array([coder is not None and t is not None and any(map(str.isalpha, t)) for t in part.column("t").to_pylist()], bool)
                     pred, score, unsure = np.full(len(part), UNKNOWN, object), np.zeros(len(part)), ~known
                     if known.any():
                         share, gap = coder.decode(vectors(part.column("t")))
@@ -150,6 +148,7 @@ def identify(docs: DataFrame, coder: Coder | None, id_col: str = "doc_id", text_
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts of documents, one row each; learned from rows outside the held-out fold. `und` with score 0 for a null text or one without a letter; a null id isn't held out; repeated rows get a row each."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs, crc_mod("doc_id", 4) != 2))
     return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -8,10 +8,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import apart, cut, table
 
 #: Bits of a size class: groups of one class differ in size by less than 1 in 2**BITS. Parts that ranks and slots are counted in.
 BITS, PARTS = 10, 1024
+#: Most rows that are sent to every task.
+BROADCAST = 200_000
 
 
 def schedule(classes: list[tuple[float, int]], shards: int) -> Iterator[list[int]]:
@@ -60,7 +62,9 @@ def lpt_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
 
     A document counts the UTF-8 bytes of its text (null: none) and `overhead`. Groups of equal texts (a null text counts as empty) are sorted by size, the largest first, and each goes to the
     least loaded shard through a heap. Sizes are taken as classes of BITS significant bits, at their mean; so the driver sees one row a class, at most 2**BITS for
-    each power of two, however many groups there are, and single large groups have their exact size. A group finds its shard from its rank in its class.
+    each power of two, however many groups there are, and single large groups have their exact size. Within a class sizes differ by less than 1 in 2**BITS, so the heap's view of a shard's
+    load, and with it the level that plain scheduling would reach, is off by less than 1 in 2**BITS. A group finds its shard from its rank in its class. The starts that are
+    broadcast are PARTS rows a shard, and are shuffled instead beyond BROADCAST rows.
 
     Returns id, size, text_crc32 (unsigned; 0 for null), shard (from 0), slot (gapless from 0 in each shard). Ids may be null or repeated; every row gets a slot of its own.
     Shards can be unequal only by a group larger than an equal share. An empty table gives an empty one; other columns are ignored.
@@ -80,11 +84,12 @@ def lpt_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
         bounds.append((row.scale, row["class"], ends))
     plan = docs.sparkSession.createDataFrame(bounds, "scale int, class bigint, ends array<bigint>")
     ranked = _rank(groups, ["scale", "class"], ["key"], F.xxhash64("key"), "rank", small=False)
-    placed = ranked.join(F.broadcast(plan), ["scale", "class"]).select("key", F.size(F.filter("ends", lambda end: end <= F.col("rank"))).alias("shard"))
-    sharded = cut(rows.join(placed, "key").select("id", "size", "text_crc32", "shard"))
-    return _rank(sharded, ["shard"], ["id", "text_crc32"], F.xxhash64("id", "text_crc32", "size"), "slot", small=True)
+    placed = ranked.join(F.broadcast(plan) if len(bounds) * shards <= BROADCAST else plan, ["scale", "class"]).select("key", F.size(F.filter("ends", lambda end: end <= F.col("rank"))).alias("shard"))
+    sharded = cut(rows.join(apart(placed, "key"), "key").select("id", "size", "text_crc32", "shard"))
+    return _rank(sharded, ["shard"], ["id", "text_crc32"], F.xxhash64("id", "text_crc32", "size"), "slot", small=shards * PARTS <= BROADCAST)
 
 
 def op9_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into 40 shards by the law `bytes`, one row each; a null text counts 16 bytes, equal texts share a shard, repeated rows get slots of their own."""
     placed = lpt_shards(table(spark, sf_dir, "documents"))
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id",
     """A model from at most `sample` labelled documents (parameter of the fit; the texts are read whole).
 
     usable: a condition on the labels' columns for rows that may be learned from. One half of the sample teaches the lexicon: stems and whole words that occur in toxic
-    documents much oftener, counted on the workers. The other half trains the trees; predictions of trees fitted without a row's third of it calibrate
+    documents much oftener, counted on the workers; a listed insult that they show to be harmless is dropped. The other half trains the trees; predictions of trees fitted without a row's third of it calibrate
     them by isotonic regression. Null labels or ids are ignored; of repeated labels the largest holds; without labelled rows every score is 0, and with one class its label.
     """
     chosen = labels.where(usable) if usable is not None else labels
@@ -219,13 +219,16 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id",
         terms = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], names=["term", "toxic", "clean"])
 
-    counted = cut(small_batches(texts).where("part < 3").mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(f"term = '' or toxic >= {LEAST}"))
+    counted = cut(small_batches(texts).where("part < 3").mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("term") == "") | (F.col("toxic") >= LEAST) | F.col("term").isin([f"{w}|" for w in INSULTS])))
     whole = counted.where("term = ''").first()
     terms = {w + "|": TIERS[0] + 1 for w in INSULTS}
     if whole is not None:
         odds = F.log((F.col("toxic") + 0.5) / (whole.toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (whole.clean + 1.0))
         doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))  # standard error: a term seen in few documents weighs less
-        ranked = counted.where("term <> ''").withColumn("weight", odds - 1.5 * doubt).where("weight >= 1.0").orderBy((F.col("weight") * F.sqrt("toxic")).desc(), "term").limit(TERMS)
+        harmless = counted.where(F.col("term").isin(list(terms)) & (odds + 1.5 * doubt < 1.0))  # listed words that the labels show in clean texts just as often
+        for r in harmless.select("term").collect():
+            del terms[r.term]
+        ranked = counted.where(F.col("term") != "").where(F.col("toxic") >= LEAST).withColumn("weight", odds - 1.5 * doubt).where("weight >= 1.0").orderBy((F.col("weight") * F.sqrt("toxic")).desc(), "term").limit(TERMS)
         terms |= {r.term: max(r.weight, terms.get(r.term, 0.0)) for r in ranked.collect()}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable=None, id_col: str = "doc_id",
                 x = features(part, "t", lexicon)
                 yield pa.RecordBatch.from_arrays([part.column("part"), part.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["part", "label", "x"])
 
-    rows = texts.where("part >= 3").mapInArrow(measure, "part int, label int, x array<double>").orderBy(F.to_json(F.struct("x")), "label").collect()
+    rows = texts.where("part >= 3").mapInArrow(measure, "part int, label int, x array<double>").collect()
+    rows.sort(key=lambda r: (r.x, r.label))
     return Model(terms, np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([float(r.label == 1) for r in rows]), np.array([r.part for r in rows]))
 
 
@@ -272,6 +276,7 @@ def learnable(column: str = "doc_id"):
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts of documents, one row each; learned from labels outside the held-out fold. Null and empty texts are scored too; a null id isn't held out; repeated rows get a row each."""
     docs = table(spark, sf_dir, "documents")
     scored = toxicity(docs, fit(docs, table(spark, sf_dir, "labels"), learnable()))
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))

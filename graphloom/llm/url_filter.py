@@ -172,4 +172,5 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All urls of pages, one row each, by the production rules and models. A null url or one without `://` has empty host and path and a verdict of the models; repeated rows get a row each."""
     return judge_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
