@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Children of a node of the segment tree.
-FAN = 32
+FAN = 4
 #: Most stretches, and most pieces, whose tokens a worker remembers; then it starts afresh.
 REMEMBERED = 400_000
 #: A space between two white characters, or after one at the end of the text.
@@ -93,7 +93,7 @@ class _Memory(dict):
 class Codec:
     """Encoder and decoder of one vocabulary.
 
-    A text is first cut at single spaces. Where a space has white space on at most one side, and isn't the end of white space that ends the text, the
+    With the production pattern a text is first cut at single spaces (any other pattern is matched over whole texts). Where a space has white space on at most one side, and isn't the end of white space that ends the text, the
     pattern puts a boundary before it whatever stands around, so each stretch, with its leading space, is cut into pieces by itself, and a worker remembers the tokens of
     stretches. Texts with a space between two white characters, or with white space before a space at their end, and very long ones, are matched as a whole.
     """
@@ -104,6 +104,7 @@ class Codec:
         self.token = {rank: token for token, rank in self.ranks.items()}
         self.decimal = {rank: str(rank) for rank in self.token}
         self.pattern = regex.compile(pattern)
+        self.cuts = pattern == public_files()[1]
         self.pieces = _Memory(self._piece)
         self.stretches = _Memory(lambda stretch: self._stretch(" " + stretch))
 
@@ -118,7 +119,7 @@ class Codec:
         """The ids of a text, in lists of bounded length."""
         if not text:
             return
-        if len(text) <= STREAM_CHARS and not WIDE.search(text):
+        if self.cuts and len(text) <= STREAM_CHARS and not WIDE.search(text):
             first, *rest = text.split(" ")
             yield [*(self._stretch(first) if first else ()), *chain.from_iterable(map(self.stretches.__getitem__, rest))]
             return
@@ -181,4 +182,5 @@ def public_files() -> tuple[str, str]:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts of documents, one row each, by the production vocabulary and pattern. Null and empty texts have 0 tokens and the digests of nothing; repeated rows and null ids get a row each."""
     return encode_texts(table(spark, sf_dir, "documents"), *public_files(), with_ids=False)

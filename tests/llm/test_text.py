@@ -49,6 +49,15 @@ def test_bpe_pieces_at_the_end_do_not_depend_on_the_vocabulary(tmp_path, text):
     assert own.encode(text) == truth.encode_ordinary(text)
 
 
+def test_bpe_of_another_pattern(tmp_path):
+    tokens = [bytes([b]) for b in range(256)] + [b"a ", b"a b"]
+    (tmp_path / "own").write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % i for i, t in enumerate(tokens)))
+    own = bpe.Codec(str(tmp_path / "own"), "[a-z ]+|.")
+    truth = tiktoken.Encoding("odd", pat_str="[a-z ]+|.", mergeable_ranks=own.ranks, special_tokens={})
+    for text in ("a b", "xa b a", "a  b"):
+        assert own.encode(text) == truth.encode_ordinary(text)
+
+
 def test_bpe_query(spark):
     texts = dict(duckdb.sql(f"select doc_id, text from '{MID}/documents.parquet'").fetchall())
     got = QUERIES["op4_byte_bpe"](spark, MID).collect()
@@ -98,6 +107,7 @@ def test_tiling_equals_brute_force():
         items = decontaminate.Items([(1, " ".join(item))], 5)
         _, share, _, tiles = items.judge(" ".join(text), 0.6)
         assert abs(share * 24 - brute_tiles(item, text, 5)) <= 0.01 or len(words) == 3
+        assert share * 24 >= brute_tiles(item, text, 5) - 5  # of equally long matches either may go first, which matters with three words only
         for a, b, n in tiles:
             assert item[a : a + n] == text[b : b + n]
 
@@ -118,6 +128,47 @@ def test_contamination(spark):
     assert decontaminate.contamination(docs.where("false"), bench).count() == 0
 
 
+def test_a_repeated_word_costs_no_memory(monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEEDS", 500)
+    items = decontaminate.Items([(1, "a " * 200), (2, "b a " * 40)], 5)
+    n, share, item, tiles = items.judge("x " + "a " * 3000 + "b a " * 50, 0.6)
+    assert (n, share, item) == (2, 1.0, 1) and tiles == [(0, 1, 200)]
+
+
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "Forty two"), (2, "forty-two!"), (3, "blue"), (4, "")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "It is forty two."), (2, "two forty"), (3, "BLUE sky, forty two"), (4, None), (5, "bluebird")], "doc_id bigint, text string")
+    for words in (1000, 1):
+        got = {r.doc_id: (r.n_items, r.item_id) for r in decontaminate.contamination(docs, bench, block_words=words, short_items=True).collect()}
+        assert got == {1: (2, 1), 2: (0, None), 3: (3, 1), 4: (0, None), 5: (0, None)}
+        left = decontaminate.drop_contaminated(docs, bench, block_words=words, short_items=True)
+        assert sorted(r.doc_id for r in left.collect()) == [2, 4, 5]
+
+
+def test_decontamination_of_the_table(spark):
+    """The query against plain tiling of every document and item that share a window, and the join of seeds against the broadcast."""
+    texts = dict(duckdb.sql(f"select doc_id, text from '{MID}/documents.parquet'").fetchall())
+    items = duckdb.sql(f"select item_id, text from '{MID}/benchmark.parquet'").fetchall()
+    got = {r.doc_id: (r.n_items, round(r.coverage, 9), r.item_id) for r in QUERIES["op10_benchmark_decontamination"](spark, MID).collect()}
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    cut = [(i, decontaminate.words_of(t), grams(decontaminate.words_of(t))) for i, t in items]
+    for doc, text in texts.items():
+        words = decontaminate.words_of(text)
+        own = grams(words)
+        shares = []
+        for i, w, g in cut:
+            if own & g:
+                near = sorted({x for k in range(len(words) - 4) if tuple(words[k : k + 5]) in g for x in range(k, k + 5)})
+                text_part = [words[x] if x in set(near) else f"\0{x}" for x in range(near[0], near[-1] + 1)]
+                shares.append((brute_tiles(w, text_part, 5) / len(w), i))
+        n = sum(s >= 0.6 for s, _ in shares)
+        best = min(shares, key=lambda s: (-s[0], s[1]), default=(0.0, None))
+        assert got[doc] == (n, round(best[0], 9), best[1])
+    docs, bench = (spark.read.parquet(f"{MID}/{t}.parquet") for t in ("documents", "benchmark"))
+    other = {r.doc_id: (r.n_items, round(r.coverage, 9), r.item_id) for r in decontaminate.contamination(docs, bench, block_words=1, short_items=True).collect()}
+    assert other == got
+
+
 def test_base_secrets_of_the_table(spark):
     texts = dict(duckdb.sql(f"select doc_id, text from '{MID}/documents.parquet'").fetchall())
     got = QUERIES["op6_secret_scan"](spark, MID).collect()
@@ -163,6 +214,20 @@ def test_gaps_are_measured_between_the_ends_of_parts():
     assert kinds(f"password={long} {'x ' * 300} user = alice") == ["assign"]
 
 
+def test_prefixes_of_access_identifiers_are_capitals():
+    for text in (f"akiaabcd1 {WEAK}", f"x: akiaabcd1 {WEAK}", f"many Asiatics wrote {WEAK}", f"x: Asiatics {WEAK}"):
+        assert kinds(text) == []
+    assert kinds(f"ASIAABCD1 {WEAK}") == ["key_id", "weak_secret"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["user=alice", "login: bob99", "AKIA", "ASIAQ7RT", WEAK, "Zq8" * 9, "password=hunter22", "https://a.b/c", "host: db.io", "x " * 30, " ", "\n", "\n \n", "\n\n", "é "]), max_size=12), st.sampled_from([20, 400, None]))
+def test_links_equal_brute_force(parts, reach):
+    text = "".join(parts)
+    base = secrets.base_spans(text)
+    assert sorted(secrets.linked_spans(text, base, reach)) == secrets.brute_links(text, base, reach)
+
+
 def test_secret_edges(spark):
     docs = spark.createDataFrame([(1, None, 0), (None, "é password=hunter22", 0), (1, "", 0)], "doc_id bigint, text string, spans int")
     got = {(r.doc_id, tuple((s.kind, s.start, s.end, s.base) for s in r.spans)) for r in secrets.scan(docs).collect()}
@@ -170,22 +235,30 @@ def test_secret_edges(spark):
     assert secrets.scan(docs.where("false")).count() == 0
 
 
+def heap_loads(classes, shards):
+    """Loads, and how many of each class each shard gets, by giving every group to the least loaded shard."""
+    load, given_to = [0.0] * shards, []
+    for size, n in classes:
+        given_to.append([0] * shards)
+        for _ in range(n):
+            k = min(range(shards), key=lambda i: (load[i], i))
+            load[k] += size
+            given_to[-1][k] += 1
+    return load, given_to
+
+
 def test_schedule_is_the_heap():
+    """Counts that aren't poured equal the heap's one by one; poured ones give loads as level as the heap's."""
     draw = random.Random(1)
     for shards in (1, 3, 40):
+        few = sorted(((float(draw.randrange(1, 5000)), draw.choice([1, 2, 4 * shards])) for _ in range(40)), reverse=True)
+        assert list(sharding.schedule(few, shards)) == heap_loads(few, shards)[1]
         classes = sorted(((float(draw.randrange(1, 5000)), draw.choice([1, 2, 30, 700])) for _ in range(40)), reverse=True)
-        load, want = [0.0] * shards, []
-        for size, n in classes:
-            given_to = [0] * shards
-            for _ in range(n):
-                k = min(range(shards), key=lambda i: (load[i], i))
-                load[k] += size
-                given_to[k] += 1
-            want.append(given_to)
+        load, _ = heap_loads(classes, shards)
         got = list(sharding.schedule(classes, shards))
         assert [sum(g) for g in got] == [n for _, n in classes]
         final = [sum(size * g[k] for (size, _), g in zip(classes, got, strict=True)) for k in range(shards)]
-        assert np.allclose(sorted(final), sorted(load), atol=2 * classes[-1][0] + 1e-6) or max(final) - min(final) <= max(load) - min(load) + 1e-6
+        assert np.allclose(sorted(final), sorted(load), atol=classes[-1][0] + 1e-6)
 
 
 def test_shards_of_the_table(spark):
