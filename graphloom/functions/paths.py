@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Folders that a scan leaves out; names of test folders; endings of test files; extensions that are indexed.
-IGNORED_DIRS = ".git .hg .idea .mypy_cache .next .nuxt .pytest_cache .svn .tox .venv .vscode __pycache__ bower_components build coverage dist env node_modules out target vendor venv".split()
+IGNORED_DIRS = ".git .venv venv __pycache__ node_modules dist build .sandbox .semantic_cache docs docs_api extern".split()
 TEST_DIRS = "__tests__ e2e spec specs test testing tests".split()
 TEST_FILE = r"(^|/)(test_[^/]*\.py|[^/]*_test\.(py|go)|conftest\.py|[^/]*\.(test|spec)\.[cm]?[jt]sx?|[^/]*Tests?\.java)$"
 EXTENSIONS = ".c .cc .cjs .cpp .go .h .hpp .java .js .jsx .mjs .py .rs .ts .tsx".split()

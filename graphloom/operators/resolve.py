@@ -31,6 +31,59 @@ def resolve_type(uses: DataFrame, types: DataFrame, parents: DataFrame, hops: in
     return uses.join(found, ["file", "scope", "variable"], "left").join(shared, ["file", "variable"], "left").select(*uses.columns, F.coalesce("__t", "__g").alias("type"))
 
 
+def resolve_destructured(uses: DataFrame, destructured: DataFrame) -> DataFrame:
+    """uses (file, name) with source_object and original: what a destructuring took the local name from, null if none did; of several the last. destructured: file, local, source, function, seq."""
+    last = destructured.groupBy("file", F.col("local").alias("name")).agg(F.max_by(F.struct("source", "function"), "seq").alias("__d"))
+    return uses.join(last, ["file", "name"], "left").select(*uses.columns, F.col("__d.source").alias("source_object"), F.col("__d.function").alias("original"))
+
+
+def resolve_static(uses: DataFrame, defs: DataFrame) -> DataFrame:
+    """uses (file, class, method, want_static) with start_line: the first definition that is static as wanted, else the first of all. defs: file, class, method, static, start_line, seq."""
+    own = defs.groupBy("file", "class", "method").agg(*[F.min_by(F.when(F.coalesce("static", F.lit(False)) == flag, F.col("start_line")), F.when(F.coalesce("static", F.lit(False)) == flag, F.col("seq"))).alias(name) for flag, name in ((True, "__s"), (False, "__i"))])
+    wanted = F.coalesce("want_static", F.lit(False))
+    return uses.join(own, ["file", "class", "method"], "left").select(*uses.columns, F.when(wanted, F.coalesce("__s", "__i")).otherwise(F.coalesce("__i", "__s")).alias("start_line"))
+
+
+def callable_targets(refs: DataFrame, methods: DataFrame, functions: DataFrame, imports: DataFrame, stars: DataFrame) -> DataFrame:
+    """refs (ref_id, file, class, ref) with target_file, target_name, target_class: the function that a reference names, without calling it.
+
+    `self.f` is a method of the own class, `Cls.f` of that class, `mod.f` a function of what `mod` imports; a bare name is a function of the file, else of what it imports, else of a
+    star import, in their order. methods: class, name, file (found up the chain already, one row each); functions: file, name, kind; imports: file, local, resolved_file, exported;
+    stars: file, source_file, pos. Each way is an equi-join; the first that finds something wins.
+    """
+    bare = refs.where(~F.contains("ref", F.lit("("))).select("ref_id", "file", F.col("class").alias("own"), F.regexp_extract("ref", r"^(.*)\.[^.]*$", 1).alias("head"), F.regexp_extract("ref", r"([^.]*)$", 1).alias("name"))
+    inner = F.col("head").isin("self", "this", "cls") & F.col("own").isNotNull()
+    owner = F.when(inner, F.col("own")).when(F.col("head").rlike("^[A-Z]"), F.col("head"))
+    where = lambda n, df: df.select("ref_id", F.lit(n).alias("way"), F.col("target_file"), F.col("target_name"), F.col("target_class"))
+    of_class = bare.withColumn("target_class", owner).join(methods.select(F.col("class").alias("target_class"), "name", F.col("file").alias("target_file")), ["target_class", "name"]).withColumn("target_name", F.col("name"))
+    plain = functions.where("kind is null or kind <> 'class'").select(F.col("file").alias("target_file"), F.col("name").alias("target_name")).distinct()
+    none = F.lit(None).cast("string")
+    imp = imports.select("file", F.col("local"), F.col("resolved_file").alias("target_file"), "exported")
+    through = bare.where(owner.isNull() & (F.col("head") != "")).join(imp.withColumnRenamed("local", "head"), ["file", "head"]).withColumn("target_name", F.col("name")).join(plain, ["target_file", "target_name"], "left_semi").withColumn("target_class", none)
+    alone = bare.where("head = ''")
+    here = alone.select("ref_id", F.col("file").alias("target_file"), F.col("name").alias("target_name")).join(plain, ["target_file", "target_name"], "left_semi").withColumn("target_class", none)
+    named = alone.join(imp.withColumnRenamed("local", "name"), ["file", "name"]).withColumn("target_name", F.coalesce("exported", "name")).join(plain, ["target_file", "target_name"], "left_semi").withColumn("target_class", none)
+    starred = alone.join(stars, "file").select("ref_id", "pos", F.col("source_file").alias("target_file"), F.col("name").alias("target_name")).join(plain, ["target_file", "target_name"], "left_semi").withColumn("target_class", none)
+    tries = where(0, of_class).unionByName(where(1, through)).unionByName(where(2, here)).unionByName(where(3, named)).unionByName(starred.select("ref_id", (F.col("pos") + 4).alias("way"), "target_file", "target_name", "target_class"))
+    best = tries.groupBy("ref_id").agg(F.min_by(F.struct("target_file", "target_name", "target_class"), F.struct("way", "target_file")).alias("__t"))
+    return refs.join(best, "ref_id", "left").select(*refs.columns, "__t.*")
+
+
+def marker_calls(calls: DataFrame, functions: DataFrame, classes: DataFrame) -> DataFrame:
+    """Targets of calls of a name whose inferred type says what it holds: stored functions, stored classes (their constructors), or an instance (its `__call__`).
+
+    calls: call_id, kind (callable, class or instance), in_file (of callables), names array. functions: file, name, class; classes: class, file. Returns call_id, file, name, class, constructor,
+    resolution (`typed` for one target, `candidates` for more).
+    """
+    each = calls.select("call_id", "kind", "in_file", F.posexplode("names").alias("pos", "wanted"))
+    stored = each.where("kind = 'callable'").join(functions, (F.col("in_file") == F.col("file")) & (F.col("wanted") == F.col("name"))).select("call_id", "pos", "file", "name", "class", F.lit(False).alias("constructor"))
+    made = each.where("kind = 'class'").join(classes.withColumnRenamed("class", "wanted"), "wanted").select("call_id", "pos", "file", F.col("wanted").alias("name"), F.lit(None).cast("string").alias("class"), F.lit(True).alias("constructor"))
+    called = each.where("kind = 'instance'").join(functions.where("name = '__call__'"), F.col("wanted") == F.col("class")).select("call_id", "pos", "file", "name", "class", F.lit(False).alias("constructor"))
+    every = stored.unionByName(made).unionByName(called)
+    many = F.count("*").over(Window.partitionBy("call_id"))
+    return every.withColumn("resolution", F.when(many == 1, "typed").otherwise("candidates")).drop("pos")
+
+
 def last_wins(functions: DataFrame) -> DataFrame:
     """The current definition of each (file, name): the last registered, but a function of the module is not shadowed by a method. Needs seq."""
     rank = Window.partitionBy("file", "name").orderBy(F.coalesce(F.col("class"), F.lit("")) != "", F.desc("seq"))

@@ -95,3 +95,16 @@ def security_tag(line: Column) -> Column:
 def approval(score: Column, high_risk: Column, security: Column) -> Column:
     """The ordered rules of the review policy."""
     return F.when(security, "BLOCK").when(high_risk, "MANUAL_REVIEW").when(score < SAFE, "LOW_CONFIDENCE").otherwise("APPROVE")
+
+
+def benchmark_summary(results: DataFrame) -> DataFrame:
+    """Averages over all tasks of a benchmark, and the cost of them together; no row without results.
+
+    results: edit_recall, edit_precision, context_efficiency, hallucination_rate, test_pass_rate, cost_usd, latency_seconds.
+    """
+    mean = lambda c, to, name: F.round(F.avg(c), to).alias(name)
+    out = results.agg(
+        mean("edit_recall", 4, "avg_recall"), mean("edit_precision", 4, "avg_precision"), mean("context_efficiency", 2, "avg_context_efficiency"), mean("hallucination_rate", 2, "avg_hallucination_rate"),
+        mean("test_pass_rate", 4, "test_pass_rate"), F.round(F.sum("cost_usd"), 6).alias("total_cost_usd"), mean("latency_seconds", 2, "avg_latency_seconds"), F.count("*").alias("tasks"),
+    )
+    return out.where("tasks > 0")
