@@ -19,6 +19,8 @@ ROWS = 8
 MISS = 1e-5
 #: Most documents, and most bytes of their texts, of one block of a candidate cluster.
 BLOCK, BLOCK_BYTES = 256, 8 << 20
+#: Documents of a cluster from which on comparing all its blocks with each other is avoided.
+LARGE = 100 * BLOCK
 
 
 def band_count(percent: int) -> int:
@@ -111,29 +113,36 @@ def _verify(k: int, percent: int):
     return run
 
 
-def links(texts: DataFrame, clusters: DataFrame, member: DataFrame, k: int, percent: int) -> DataFrame:
+def links(texts: DataFrame, member: DataFrame, k: int, percent: int) -> DataFrame:
     """Edges a, b that join what the similar pairs of each cluster join.
 
-    texts: component, node, bytes, t, checkpointed. First all documents of a cluster are compared with its lead, one row a document; that settles most
-    clusters. The pairs that still matter (see open_groups) are compared block by block, each pair of blocks in a task of its own.
+    texts: component, node, bytes, t, checkpointed; member: node, bucket. A cluster is dealt into blocks, and each pair of blocks is compared in a task of its own. In clusters of more than LARGE
+    documents that would be dear, so there all documents are first compared with the cluster's lead, one row a document, and of the others only
+    the pairs that still matter are compared (see open_groups).
     """
-    parts = tasks(texts.sparkSession)
+    parts, none = tasks(texts.sparkSession), F.lit(0).cast("bigint")
     verify = lambda rows: rows.select("component", "part", F.col("node").alias("id"), "t", "block", "i", "j").repartition(parts, "component", "part", "i", "j").groupBy("component", "part", "i", "j").applyInArrow(_verify(k, percent), "a bigint, b bigint")
-    sizes = texts.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).alias("blocks"))
+
+    def within(groups: DataFrame) -> DataFrame:
+        placed = deal(groups, BLOCK, "bytes", BLOCK_BYTES)
+        reach = F.when(F.col("rest") == 1, F.col("blocks")).otherwise(F.col("own"))
+        pairs = placed.select("component", "part", "node", "t", "block", F.explode(F.sequence(none, reach - 1)).alias("other"))
+        return verify(pairs.select("component", "part", "node", "t", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+
+    all_of = lambda rows: rows.select("component", none.alias("part"), "node", F.lit(1).alias("rest"), "bytes", "t")
+    large = texts.groupBy("component").agg(F.count("*").alias("n"), F.sum("bytes").alias("sum")).where(F.col("n") > LARGE)
+    large = cut(large.select("component", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("sum") / BLOCK_BYTES)).alias("blocks")))
+    if large.isEmpty():
+        return within(all_of(texts))
+    dealt = texts.join(apart(large, "component"), "component").withColumn("own", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")))
     lead, far = F.col("node") == F.col("component"), F.lit(-1).cast("bigint")
-    dealt = texts.join(apart(sizes, "component"), "component").withColumn("own", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")))
-    star = dealt.select("component", F.lit(0).cast("bigint").alias("part"), "node", "t", F.when(lead, far).otherwise(F.col("own")).alias("block"), F.explode(F.when(lead, F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array("own"))).alias("i"), far.alias("j"))
+    star = dealt.select("component", none.alias("part"), "node", "t", F.when(lead, far).otherwise(F.col("own")).alias("block"), F.explode(F.when(lead, F.sequence(none, F.col("blocks") - 1)).otherwise(F.array("own"))).alias("i"), far.alias("j"))
     first = cut(verify(star))
-    narrow = texts.select("component", "node")
-    rest = narrow.where(~lead).join(first.select(F.col("a").alias("node")), "node", "left_anti")
-    todo = open_groups(narrow.distinct(), rest.select("node").distinct(), member.select(F.col("id").alias("node"), "bucket"), BLOCK)
-    if todo.isEmpty():
-        return first
-    placed = deal(todo.join(texts.select("node", "bytes", "t"), "node"), BLOCK, "bytes", BLOCK_BYTES)
-    reach = F.when(F.col("rest") == 1, F.col("blocks")).otherwise(F.col("own"))
-    pairs = placed.select("component", "part", "node", "t", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), reach - 1)).alias("other"))
-    pairs = pairs.select("component", "part", "node", "t", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return first.unionByName(verify(pairs))
+    nodes = cut(dealt.select("node", "component").distinct())
+    rest = nodes.where(~lead).join(first.select(F.col("a").alias("node")), "node", "left_anti").select("node")
+    todo = open_groups(nodes, rest, member, LARGE)
+    groups = all_of(texts.join(large, "component", "left_anti")).unionByName(todo.join(texts.select("node", "bytes", "t"), "node").select("component", "part", "node", "rest", "bytes", "t"))
+    return first.unionByName(within(groups))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -143,9 +152,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     2. Documents with equal sets form a class; only its smallest id goes on, so exact copies cost one row whatever their number.
     3. Classes that share a bucket of a band are tied to the smallest id of the bucket; the components of these ties are the candidate
        clusters. No pair is written: a bucket gives one row a member.
-    4. Similarities are computed exactly from the full sets. First every document of a cluster is compared with the cluster's lead. Only documents that aren't similar to it go on: they
-       are compared with all others of the cluster, or of their buckets where that is less work, in blocks of at most about BLOCK documents and BLOCK_BYTES
-       bytes. A task holds two blocks and returns a spanning forest of the links between them. A cluster of true copies so costs one comparison a document.
+    4. Similarities are computed exactly from the full sets. A cluster is dealt into blocks of at most about BLOCK documents and BLOCK_BYTES bytes; a task holds two blocks and returns a
+       spanning forest of the links between them. In a cluster of more than LARGE documents every document is first compared with the cluster's lead, and only those that
+       aren't similar to it go on: they are compared with all others of the cluster, or of their buckets where that is less work. So a giant cluster of true copies costs
+       one comparison a document, and a giant chain of different texts that boilerplate ties costs the squares of its buckets and not of the chain.
     5. The components of these links, by distributed contraction.
 
     Shingles are compared by 64-bit hashes (polynomials of words, modulo 2**64, finalised; two different shingles of a pair of texts of n shingles collide with a chance of about n**2 / 2**64 unless
@@ -166,7 +176,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     narrow = leaders.select("id", "bytes").join(clusters.select(F.col("node").alias("id"), "component"), "id").dropDuplicates(["id"])
     texts = base.where("id is not null and t is not null").withColumn("digest", F.xxhash64("t"))
     with_text = cut(narrow.join(texts, "id").dropDuplicates(["id", "digest"]).select("component", F.col("id").alias("node"), "bytes", "t"))
-    linked = components(links(with_text, clusters, member, k, percent))
+    linked = components(links(with_text, member.select(F.col("id").alias("node"), "bucket"), k, percent))
     labels = classes.join(linked.select(F.col("node").alias("lead"), "component"), "lead", "left").select("k0", "k1", F.coalesce("component", "lead").alias("component"))
     out = sets.select("id", "n", "k0", "k1").join(apart(labels, "k0", "k1"), ["k0", "k1"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import exact_dedup, line_dedup, near_dedup, sketching
-from graphloom.llm.common import components
+from graphloom.llm.common import components, open_groups
+from graphloom.llm.queries import QUERIES
 
 SCHEMA = "doc_id bigint, text string, kept boolean, n_shingles int, component_id string, nth int, size int"
 
@@ -59,6 +60,42 @@ def test_near_dedup_across_blocks(spark, monkeypatch):
     assert got["component_id"].tolist() == near_dedup.reference_components(rows, 5, 85).sort_values("doc_id")["component_id"].tolist()
 
 
+def test_near_dedup_in_large_clusters(spark, monkeypatch):
+    """A cluster of copies around one lead, and chains whose ends never meet, dealt by whole clusters and by buckets; ids may be negative."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "LARGE", 4)
+    draw = random.Random(6)
+    base = [f"x{k}" for k in range(150)]
+    rows = [(-1, " ".join(base))]
+    for i in range(20):
+        copy = list(base)
+        copy[draw.randrange(150)] = f"y{i}"
+        rows.append((i, " ".join(copy)))
+    words = [f"c{k}" for k in range(400)]
+    rows += [(100 + i, " ".join(words[5 * i : 5 * i + 100])) for i in range(12)]  # neighbours have 91 of 101 shingles in common
+    rows += [(200 + i, " ".join(words[14 * i : 14 * i + 100])) for i in range(8)]  # close, but not enough
+    got = near_dedup.near_dedup(frame(spark, rows), percent=80).toPandas().sort_values("id")
+    assert got["component_id"].tolist() == near_dedup.reference_components(rows, 5, 80).sort_values("doc_id")["component_id"].tolist()
+
+
+def test_open_groups_choose_the_cheaper_way(spark):
+    """A chain of small buckets is compared by its buckets, a cluster in one bucket as a whole; equal buckets count once; what the lead settled is left out."""
+    chain = [(n, 0) for n in range(30)] + [(n, 100) for n in range(100, 110)] + [(200, 200), (201, 200)]
+    member = [(n, 1000 + n // 3) for n in range(30)] + [(n, 2000 + n // 3) for n in range(30)] + [(n, b) for n in range(100, 110) for b in (1, 2, 3)]
+    rest = [(n,) for n in range(1, 30)] + [(n,) for n in range(101, 110)] + [(201,)]
+    clusters = spark.createDataFrame(chain, "node bigint, component bigint")
+    got = open_groups(clusters, spark.createDataFrame(rest, "node bigint"), spark.createDataFrame(member, "node bigint, bucket bigint"), 5).collect()
+    assert {r.component for r in got} == {0, 100}
+    assert {r.part for r in got if r.component == 100} == {0}
+    assert {(r.part, r.node) for r in got if r.component == 0} == {(1000 + n // 3, n) for n in range(30)}
+
+
+def test_near_dedup_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, 2, 3), (2, "a b c", 1, 2, 3), (3, None, 1, 2, 3)], "doc_id bigint, text string, found int, gone_id int, component_id int")
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_near_dedup_edges(spark):
     text = " ".join(f"t{k}" for k in range(30))
     got = {(r.id, r.component_id, r.kept) for r in near_dedup.near_dedup(frame(spark, [(5, text), (5, text), (2, text), (None, text), (9, None)])).collect()}
@@ -155,7 +192,8 @@ def lines_corpus():
 
 def test_line_dedup_equals_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", 5)
-    rows = [*lines_corpus(), (100, ""), (101, "\n \nsame line here\n"), (102, "SAME line here"), (103, None)]
+    monkeypatch.setattr(line_dedup, "LARGE", 4)
+    rows = [*lines_corpus(), (-7, "a line of its own\nand one more of a negative document"), (100, ""), (101, "\n \nsame line here\n"), (102, "SAME line here"), (103, None)]
     got = {r.id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
     want = line_dedup.reference_lines(rows)
     assert {i: t for i, t in got.items() if t is not None} == want and got[103] is None
@@ -193,5 +231,27 @@ def test_line_dedup_sees_every_character(spark):
     assert {i: t for i, t in line_dedup.reference_lines(rows).items() if t} == {i: t for i, t in rows if got[i]}
 
 
+def test_line_query_on_the_table(spark, sf_dir):
+    """n_lines, n_kept and removed of the query against brute force over all pairs of lines."""
+    texts = dict(duckdb.sql(f"select doc_id, text from '{sf_dir}/documents.parquet'").fetchall())
+    want = line_dedup.reference_lines(list(texts.items()))
+    got = {r.doc_id: r for r in QUERIES["op7_line_dedup"](spark, sf_dir).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        lines = text.split("\n")
+        gone = {int(x) for x in got[i].removed.split(",") if x}
+        assert "\n".join(line for p, line in enumerate(lines) if p not in gone) == want[i]
+        assert (got[i].n_lines, got[i].n_kept) == (len(lines), len(lines) - len(gone))
+
+
+def test_near_dedup_query_on_the_table(spark):
+    """All links at 0.85 among the documents of a table, by brute force: none is missed."""
+    rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    got = QUERIES["op1_minhash_near_dedup"](spark, "/root/testdata/sf0.01").toPandas().sort_values("doc_id")
+    want = near_dedup.reference_components(rows, 5, 85).sort_values("doc_id")
+    for name in ("doc_id", "n_shingles", "component_id", "kept"):
+        assert got[name].tolist() == want[name].tolist()
+
+
 def test_line_dedup_bands_miss_hardly_any_pair_at_the_threshold():
     assert (1 - 0.8**line_dedup.ROWS) ** line_dedup.RANGES <= 1e-5
