@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans import confidence as C
 from ..plans.closure import closure
-from ..plans.nodes import node_key, node_residual, same_node
+from ..plans.nodes import node_key, node_residual
 
 #: Edge types that a policy walks, and its depth. None: all, unbounded. LOCAL_EDIT walks nothing, NEW_FEATURE has a plan of its own.
 POLICIES = {
@@ -78,7 +78,7 @@ def new_feature(edges: DataFrame, targets: DataFrame, types=None) -> DataFrame:
     the target's file are taken; and without these, the edges at the target. Confidence, tests and depth don't count here.
     """
     usable = filtered(edges, types, include_tests=True)
-    met = closure(_keyed(usable), _seeds(targets), "up", None, node_residual).join(usable.select("edge_id", "src"), "edge_id").where("src.type = 'ROUTE'")
+    met = closure(_keyed(usable), _seeds(targets), "up", None, node_residual, until=lambda n: n["type"] == "ROUTE").join(usable.select("edge_id", "src"), "edge_id").where("src.type = 'ROUTE'")
     nearest = met.groupBy("seed_id").agg(F.min_by("src", F.struct("depth", "edge_id")).alias("node"))
     own = targets.where("node.type = 'ROUTE'")
     routes = own.unionByName(nearest.join(own, "seed_id", "left_anti"))
@@ -96,8 +96,9 @@ def new_feature(edges: DataFrame, targets: DataFrame, types=None) -> DataFrame:
     first = hop(routes, None, 1)
     second = hop(first.where("dst.type = 'FUNCTION'").select("seed_id", F.col("dst").alias("node")).distinct(), "FUNCTION_CALL", 2)
     third = hop(second.select("seed_id", F.col("dst").alias("node")).distinct(), "DB_ACCESS", 3)
-    lone = targets.join(routes, "seed_id", "left_anti").select("seed_id", F.col("node").alias("at"))
-    incident = lone.join(usable, same_node(F.col("at"), F.col("src")) | same_node(F.col("at"), F.col("dst"))).select("seed_id", F.lit(1).alias("depth"), *edges.columns)
+    lone = targets.join(routes, "seed_id", "left_anti").select("seed_id", F.col("node").alias("at"), node_key(F.col("node")).alias("key")).where("key is not null")
+    at_end = lambda end: lone.join(usable.withColumn("key", node_key(F.col(end))), "key").where(node_residual(F.col("at"), F.col(end))).select("seed_id", F.lit(1).alias("depth"), *edges.columns)
+    incident = at_end("src").unionByName(at_end("dst"))
     every = first.unionByName(second).unionByName(third).unionByName(incident)
     return every.withColumn("nth", F.row_number().over(_first_depth())).where("nth = 1").drop("nth")
 
@@ -162,7 +163,12 @@ def completeness(calls: DataFrame, targets: DataFrame, examples: int = 10) -> Da
     hit = targets.join(named, "name", "left")
     lost = F.col("file").isNotNull() & F.col("resolved_file").isNull() & ~F.col("external")
     out = F.col("file").isNotNull() & F.col("external")
-    grouped = hit.groupBy("seed_id", "name").agg(F.count(F.when(lost, 1)).alias("unresolved"), F.count(F.when(out, 1)).alias("external"), F.slice(F.sort_array(F.collect_set(F.when(lost, F.col("file")))), 1, examples).alias("examples"))
+    from pyspark.sql import Window
+
+    counts = hit.groupBy("seed_id", "name").agg(F.count(F.when(lost, 1)).alias("unresolved"), F.count(F.when(out, 1)).alias("external"))
+    nth = F.row_number().over(Window.partitionBy("seed_id", "name").orderBy("file"))
+    some = hit.where(lost).select("seed_id", "name", "file").distinct().withColumn("nth", nth).where(F.col("nth") <= examples).groupBy("seed_id", "name").agg(F.sort_array(F.collect_list("file")).alias("examples"))
+    grouped = counts.join(some, ["seed_id", "name"], "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
     return grouped.withColumn("verdict", F.when(F.col("unresolved") > 0, "unknown").when(F.col("external") > 0, "partial").otherwise("complete"))
 
 

@@ -65,7 +65,11 @@ def merge_trace(edges: DataFrame, trace: DataFrame, keys: list[str], stale: Colu
     edges: keys, confidence; trace: keys, test, count. stale: a condition on the keys under which an observation no longer holds.
     """
     fresh = trace if stale is None else trace.where(~stale)
-    seen = fresh.groupBy(*keys).agg(F.sum("count").alias("observed_count"), F.slice(F.sort_array(F.collect_set("test")), 1, tests).alias("observed_in"))
+    from pyspark.sql import Window
+
+    by_test = fresh.groupBy(*keys, "test").agg(F.sum("count").alias("count"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("test").asc_nulls_last()))
+    seen = by_test.withColumn("__n", nth).groupBy(*keys).agg(F.sum("count").alias("observed_count"), F.sort_array(F.collect_list(F.when(F.col("__n") <= tests, F.col("test")))).alias("observed_in"))
     static = edges.select(*keys, F.coalesce("static_confidence", "confidence").alias("confidence") if "static_confidence" in edges.columns else F.col("confidence")).where("confidence is null or confidence <> 'trace-only'").withColumn("static", F.lit(True))
     both = static.join(seen, keys, "full_outer")
     observed = F.col("observed_count").isNotNull()

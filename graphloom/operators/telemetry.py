@@ -28,7 +28,7 @@ def task_windows(steps: DataFrame, session: str, order: list[str], boundary: Col
 
 
 def window_bounds(windows: DataFrame, session: str, at: str) -> DataFrame:
-    """Start, end and seconds of each window, and whether it is negative or of length zero, or shares its bounds with another window of any session."""
+    """Start, end and seconds of each window, and whether it is of length zero, or shares its bounds with another window of any session."""
     spans = windows.groupBy(session, "window_id").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("steps"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     same = Window.partitionBy("start", "end")
@@ -41,10 +41,12 @@ def look_ahead(steps: DataFrame, session: str, order: list[str], wanted: Column,
     return F.first(F.when(wanted, value), ignorenulls=True).over(ahead)
 
 
-def in_session(queries: DataFrame, sessions: DataFrame, by: list[str], query_key: str, at: str) -> DataFrame:
-    """Each query with the first session (by start, then id) of the same `by` that holds its time: an interval join and a min_by."""
-    s = sessions.select(*by, F.col("session_id").alias("__sid"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    hit = queries.join(s, by).where((F.col("__s") <= F.col(at)) & (F.col(at) <= F.col("__e")))
+def in_session(queries: DataFrame, sessions: DataFrame, by: list[str], query_key: str, at: str, seconds: int = 3600) -> DataFrame:
+    """Each query with the first session (by start, then id) of the same `by` that holds its time: an interval join in bins of `seconds`, which should be about the usual length of a session, and a min_by."""
+    bin_of = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / seconds).cast("bigint")
+    s = sessions.select(*by, F.col("session_id").alias("__sid"), F.col("start").alias("__s"), F.col("end").alias("__e")).where("__s <= __e")
+    s = s.withColumn("__bin", F.explode(F.sequence(bin_of("__s"), bin_of("__e"))))
+    hit = queries.withColumn("__bin", bin_of(at)).join(s, [*by, "__bin"]).where((F.col("__s") <= F.col(at)) & (F.col(at) <= F.col("__e")))
     first = hit.groupBy(query_key).agg(F.min_by("__sid", F.struct("__s", "__sid")).alias("session_id"))
     return queries.join(first, query_key, "left")
 

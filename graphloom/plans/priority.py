@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,24 +19,34 @@ def first_match(left: DataFrame, key: str, tries: Column, right: DataFrame, righ
 def nearest_before(calls: DataFrame, defs: DataFrame, on: list[str], call_at: str, def_at: str, payload: list[str], call_key: str) -> DataFrame:
     """As-of join: for each call the definition with the largest `def_at` not above `call_at`, else the smallest above it.
 
-    An equi-join on `on`, then one aggregate of two ordered picks; unmatched calls stay with nulls.
+    Both sides are sorted together, once, and each call takes the last definition before it and the first after it; so a key with very many calls and definitions costs their sum and not their
+    product. Unmatched calls, and those without a place, stay with nulls.
     """
-    joined = calls.join(defs.select(*on, F.col(def_at).alias("__at"), F.struct(*payload).alias("__def")), on, "left")
-    before = F.col("__at") <= F.col(call_at)
-    picked = joined.groupBy(call_key).agg(
-        F.max_by(F.when(before, F.col("__def")), F.when(before, F.col("__at"))).alias("__b"),
-        F.min_by(F.when(~before, F.col("__def")), F.when(~before, F.col("__at"))).alias("__a"),
-    )
-    chosen = picked.select(call_key, F.coalesce("__b", "__a").alias("__d"))
-    return calls.join(chosen, call_key, "left").select(*calls.columns, *[F.col(f"__d.{c}").alias(c) for c in payload])
-
-
-def enclosing(points: DataFrame, spans: DataFrame, on: list[str], start: str, end: str, span_start: str, span_end: str, point_key: str, payload: list[str], strict: bool = False) -> DataFrame:
-    """The smallest span that contains each point's interval (strictly, if asked): interval join on equal `on`, then min_by size."""
-    s = spans.select(*on, F.col(span_start).alias("__s"), F.col(span_end).alias("__e"), F.struct(*payload).alias("__p"))
+    call = F.struct(*[F.col(f"`{c}`") for c in calls.columns])
+    none = lambda df, c: F.lit(None).cast(df.select(c.alias("x")).schema["x"].dataType)
+    found = F.struct(*payload)
+    keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(on)]
+    left = calls.select(*keys, F.col(call_at).alias("__at"), F.lit(1).alias("__side"), call.alias("__call"), none(defs, found).alias("__def"))
+    known = defs.where(" and ".join(f"`{c}` is not null" for c in [*on, def_at]))
+    right = known.select(*keys, F.col(def_at).alias("__at"), F.lit(0).alias("__side"), none(calls, call).alias("__call"), found.alias("__def"))
+    line = Window.partitionBy(*[f"__k{i}" for i in range(len(on))]).orderBy("__at", "__side")
+    last = F.last("__def", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("__def", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
+    picked = left.unionByName(right).select("__call", "__side", F.when(F.col("__at").isNotNull(), F.coalesce(last, first)).alias("__d")).where("__side = 1")
+    return picked.select("__call.*", *[F.col(f"__d.{c}").alias(c) for c in payload])
+
+
+def enclosing(points: DataFrame, spans: DataFrame, on: list[str], start: str, end: str, span_start: str, span_end: str, point_key: str, payload: list[str], strict: bool = False, width: int = 64) -> DataFrame:
+    """The smallest span that contains each point's interval (strictly, if asked), by min_by of the size.
+
+    An interval join in bins: a span is in every bin of `width` that it touches, a point in the bin of its start; so a point meets only the spans near it. width should be about the usual length of a span.
+    """
+    bin_of = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    s = spans.select(*on, F.col(span_start).alias("__s"), F.col(span_end).alias("__e"), F.struct(*payload).alias("__p")).where("__s <= __e")
+    s = s.withColumn("__bin", F.explode(F.sequence(bin_of("__s"), bin_of("__e"))))
     inside = (F.col("__s") <= F.col(start)) & (F.col("__e") >= F.col(end))
     if strict:
         inside = inside & ((F.col("__s") != F.col(start)) | (F.col("__e") != F.col(end)))
-    hit = points.join(s, on).where(inside)
+    hit = points.withColumn("__bin", bin_of(start)).join(s, [*on, "__bin"]).where(inside)
     best = hit.groupBy(point_key).agg(F.min_by("__p", F.struct(F.col("__e") - F.col("__s"), F.col("__s"))).alias("__p"))
     return points.join(best, point_key, "left").select(*points.columns, *[F.col(f"__p.{c}").alias(c) for c in payload])

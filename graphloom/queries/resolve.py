@@ -94,7 +94,7 @@ def owner_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = ev.where("event_type in ('signup', 'error')").select("user_id", F.col("event_id").alias("owner"), F.col("ts").alias("s"), nxt.alias("e")).where("e is not null")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
     points = ev.select("event_id", "user_id", micros("ts"))
-    return enclosing(points, spans.select("user_id", "owner", micros("s"), micros("e")), ["user_id"], "ts", "ts", "s", "e", "event_id", ["owner"]).select("event_id", "owner")
+    return enclosing(points, spans.select("user_id", "owner", micros("s"), micros("e")), ["user_id"], "ts", "ts", "s", "e", "event_id", ["owner"], width=6 * 3600 * 10**6).select("event_id", "owner")
 
 
 OWNER_SQL = """WITH s AS (SELECT user_id, event_id AS owner, ts AS s, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS e FROM events WHERE event_type IN ('signup', 'error')),

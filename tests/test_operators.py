@@ -179,6 +179,19 @@ def test_change_feed_survives_a_repeated_batch(spark, tmp_path):
     assert sorted(map(tuple, live.current(spark, target).collect())) == [("a", "2"), ("b", "1")]
 
 
+def test_change_feed_replays_a_batch_and_orders_rows(spark, tmp_path):
+    target, schema = str(tmp_path / "out"), "file string, sha256 string, seq int"
+    put = lambda n, rows: live.apply_batch(spark.createDataFrame(rows, schema), n, target, "file", "sha256", "seq")
+    rows = lambda: sorted((r.file, r.sha256) for r in live.current(spark, target).collect())
+    put(0, [("a", "1", 1), ("b", "1", 1), ("c", "1", 1)])
+    second = [("a", "9", 2), ("a", "2", 3), ("c", None, 4)]
+    for _ in range(2):  # the second time as after a crash between the version and the stream's own commit
+        put(1, second)
+        assert rows() == [("a", "2"), ("b", "1")]
+    put(2, [("d", "1", 5)])
+    assert rows() == [("a", "2"), ("b", "1"), ("d", "1")] and live.versions(spark, target) == [1, 2]
+
+
 def test_windows_of_a_transcript(spark):
     steps = spark.createDataFrame([("s", i, q) for i, q in enumerate([False, True, False, False, True, False])], "session string, i int, q boolean")
     got = [r.window_id for r in telemetry.task_windows(steps, "session", ["i"], F.col("q")).orderBy("i").collect()]
