@@ -85,9 +85,12 @@ class Engine:
         return [r.asDict() for r in I.file_dependents(links, self.spark.createDataFrame([(file,)], "file string"), hops, limit).orderBy("is_test", "depth", "file").collect()]
 
     def find_symbols(self, query: str, limit: int = 10, include_tests: bool = False) -> list[dict]:
+        """Files ranked against a free text (symbols.rank_files), with the matching symbols and texts of symbols.find_symbols as reasons."""
         f = self.section("functions")
-        f = f if include_tests else f.where("not is_test")
-        return [r.asDict() for r in Y.find_symbols(f.select("file", "name", "class"), query, Y.literals(self.section("literals")).select("file", "text"), limit).collect()]
+        f = (f if include_tests else f.where("not is_test")).select("file", "name", "class")
+        texts = Y.literals(self.section("literals")).select("file", "text")
+        why = {r.file: list(r.reasons) for r in Y.find_symbols(f, query, texts, 4 * limit).collect()}
+        return [r.asDict() | {"reasons": why.get(r.file, [])} for r in Y.rank_files(f, query, texts, limit, include_tests).collect()]
 
     def query_context(self, *specs: str, policy: str = "DEFAULT") -> list[dict]:
         g = self.graph()

@@ -124,3 +124,58 @@ def literals(texts: DataFrame, limit: int = 200) -> DataFrame:
     wanted = F.length(text).between(4, 120) & ~text.rlike(r"^[./~]|^[A-Za-z]+://") & (F.contains(text, F.lit(" ")) | ~text.rlike(r"^[A-Za-z0-9_$]+$"))
     first = texts.where(wanted).groupBy("file", "text").agg(F.min("pos").alias("pos"))
     return first.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("pos"))).where(F.col("nth") <= limit)
+
+
+# Words that the ranking leaves out; its words and the parts of identifiers.
+RANK_STOP = "all and any are but can does for from has have into not out should that the this use used using was when with you".split()
+RANK_WORD, RANK_PART = r"[A-Za-z_$][A-Za-z0-9_$]*", r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+"
+# Folders whose literals don't count unless tests do.
+RANK_TEST_DIRS = "test tests __tests__ spec".split()
+
+
+def rank_files(symbols: DataFrame, query: str, literals: DataFrame | None = None, limit: int = 10, include_tests: bool = False) -> DataFrame:
+    """Files ranked against a free text by the evidence of their symbols, literals and names, with the score rounded to a tenth.
+
+    symbols: file, name, class (null allowed), one row each definition. literals: file, text. Of a symbol the first that holds counts: its name is a word of the query (10 x at least .25 of
+    its rarity), its class is (6 x, once a file and class), or its name and class share two parts with the query, or consist of one rare part that it has (twice the rarities). A literal that is
+    within the query (8 and an eighth of its length, up to 13), around it (6), or half of whose words are in the query (1.5 each); a word of four letters or more in the file's name (3). The points of
+    each kind are added up to CAPS. The rarity of a part is max(.15, 1 - log(1 + df) / log(1 + n)) over all definitions. The query's words go with the plan as literals; ties go by file.
+    """
+    import re
+
+    asked = [w for w in re.findall(RANK_WORD, query) if len(w) >= 2]
+    words = sorted({w.lower() for w in asked} - set(RANK_STOP))
+    parts = sorted({p.lower() for w in asked for p in re.findall(RANK_PART, w) if len(p) >= 3} - set(RANK_STOP))
+    listed = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+    split = lambda c: F.filter(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(RANK_PART), 0), F.lower), lambda x: F.length(x) >= 3)
+    named = symbols.where("name is not null and name <> ''").select("file", "name", F.nullif("class", F.lit("")).alias("class")).withColumn("subs", F.array_distinct(F.concat(split(F.col("name")), split(F.col("class")))))
+    total = named.agg(F.greatest(F.count("*"), F.lit(1)).alias("total"))
+    df = named.select(F.explode("subs").alias("word")).where(F.col("word").isin(*words, *parts, "")).groupBy("word").agg(F.count("*").alias("df"))
+    rows = total.join(df, F.lit(True), "left").groupBy("total").agg(F.map_from_entries(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "df")))).alias("dfs"))  # one row, at most a word of the query each
+    held = named.crossJoin(F.broadcast(rows))
+    rare = lambda w: F.greatest(F.lit(0.15), 1 - F.log1p(F.coalesce(F.try_element_at("dfs", w), F.lit(0))) / F.log1p("total"))
+    in_words = lambda c: F.coalesce(F.array_contains(listed(words), F.lower(c)), F.lit(False))
+    shared = F.array_intersect("subs", listed(parts))
+    way = F.when(in_words("name"), "name").when(in_words("class"), "class").when((F.size(shared) >= 2) | ((F.size(shared) == 1) & (F.size("subs") == 1) & (rare(F.get(shared, F.lit(0))) > 0.6)), "sub")
+    found = held.select("*", way.alias("way"), shared.alias("shared")).where("way is not null")
+    by_name = found.where("way = 'name'").select("file", F.lit("symbol").alias("kind"), (10 * F.greatest(F.lit(0.25), rare(F.lower("name")))).alias("points"))
+    by_class = found.where("way = 'class'").select("file", "class", F.lit("symbol").alias("kind"), (6 * F.greatest(F.lit(0.25), rare(F.lower("class")))).alias("points")).dropDuplicates(["file", "class"]).drop("class")
+    by_part = found.where("way = 'sub'").select("file", F.lit("sub").alias("kind"), F.aggregate(F.transform("shared", lambda w: 2 * rare(w)), F.lit(0.0).cast("double"), lambda a, b: a + b).alias("points"))
+    base = F.lower(F.element_at(F.split("file", "/"), -1))
+    files = symbols.select("file") if literals is None else symbols.select("file").unionByName(literals.select("file"))
+    by_file = files.distinct().where(F.exists(listed([w for w in words if len(w) >= 4]), lambda w: F.contains(base, w))).select("file", F.lit("name").alias("kind"), F.lit(3.0).alias("points"))
+    every = by_name.unionByName(by_class).unionByName(by_part).unionByName(by_file)
+    if literals is not None:
+        if not include_tests:
+            folders = F.split("file", "/")
+            literals = literals.where(~F.arrays_overlap(F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0))), listed(RANK_TEST_DIRS)))
+        low, whole = F.lower("text"), F.lit(query.strip().lower())
+        own = F.array_except(F.array_distinct(F.filter(F.regexp_extract_all(low, F.lit(RANK_WORD), 0), lambda w: F.length(w) >= 3)), listed(RANK_STOP))
+        both = F.size(F.array_intersect(own, listed(words)))
+        strong = F.when((F.length(low) >= 6) & F.contains(whole, low), 8 + F.least(F.length(low), F.lit(40)) / 8).when((F.length(whole) >= 8) & F.contains(low, whole), 6.0)
+        weak = F.when((both >= 2) & (both >= F.size(own) * 0.5), 1.5 * both)
+        seen = literals.select("file", F.when(strong.isNotNull(), "lit").otherwise("litpart").alias("kind"), F.coalesce(strong, weak).cast("double").alias("points")).where("points is not null")
+        every = every.unionByName(seen)
+    cap = F.create_map(*[F.lit(x) for pair in CAPS.items() for x in pair])
+    capped = every.groupBy("file", "kind").agg(F.least(F.sum("points"), cap[F.col("kind")]).alias("points")).groupBy("file").agg(F.sum("points").alias("sum"))
+    return capped.orderBy(F.desc(F.round("sum", 9)), "file").limit(max(1, limit)).select("file", F.round("sum", 1).alias("score"))

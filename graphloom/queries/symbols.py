@@ -44,6 +44,33 @@ k AS (SELECT file, kind, least(sum(points), CASE kind WHEN 'symbol' THEN 30 WHEN
 SELECT file, round(sum(points), 1) AS score FROM k GROUP BY file ORDER BY score DESC, file LIMIT 25"""
 
 
+RANKED = "When is Small_Widget broken for the economy or large bolt in promo of tests"
+
+
+def rank_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as symbols; their names and brands, written out, as literals."""
+    parts = _parts(spark, sf_dir)
+    literals = parts.select("file", F.concat(F.lit("the "), F.replace("name", F.lit("_"), F.lit(" ")), F.lit(" economy")).alias("text"))
+    return Y.rank_files(parts, RANKED, literals, 40)
+
+
+_RANKED_WORDS, _RANKED_PARTS = ("is", "small_widget", "broken", "economy", "or", "large", "bolt", "in", "promo", "of", "tests"), ("small", "widget", "broken", "economy", "large", "bolt", "promo", "tests")
+_ARRAY = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+RANK_SQL = f"""WITH {PARTS_SQL}, p AS (SELECT file, name, class, list_distinct(list_filter(list_transform(list_concat(regexp_extract_all(name, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), regexp_extract_all(class, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')), lambda x: lower(x)), lambda x: length(x) >= 3)) AS subs FROM f),
+t AS (SELECT count(*) AS total FROM p), d AS (SELECT w.word, (SELECT count(*) FROM p WHERE list_contains(subs, w.word)) AS df FROM (SELECT DISTINCT unnest({_ARRAY(dict.fromkeys(_RANKED_WORDS + _RANKED_PARTS))}) AS word) w),
+r AS (SELECT word, greatest(0.15, 1 - ln(1 + df) / ln(1 + total)) AS rare FROM d, t),
+o AS (SELECT row_number() OVER () AS i, *, list_intersect(subs, {_ARRAY(_RANKED_PARTS)}) AS hit FROM p),
+x AS (SELECT i, sum(rare) AS sum, max(rare) AS top FROM (SELECT i, unnest(hit) AS word FROM o) JOIN r USING (word) GROUP BY i),
+e AS (SELECT file, 'symbol' AS kind, 10 * greatest(0.25, rare) AS points FROM o JOIN r ON word = lower(name) WHERE list_contains({_ARRAY(_RANKED_WORDS)}, lower(name))
+  UNION ALL SELECT DISTINCT ON (file, class) file, 'symbol', 6 * greatest(0.25, rare) FROM o JOIN r ON word = lower(class) WHERE NOT list_contains({_ARRAY(_RANKED_WORDS)}, lower(name)) AND list_contains({_ARRAY(_RANKED_WORDS)}, lower(class))
+  UNION ALL SELECT file, 'sub', 2 * sum FROM o JOIN x USING (i) WHERE NOT list_contains({_ARRAY(_RANKED_WORDS)}, lower(name)) AND NOT list_contains({_ARRAY(_RANKED_WORDS)}, lower(class)) AND (len(hit) >= 2 OR (len(hit) = 1 AND len(subs) = 1 AND top > 0.6))
+  UNION ALL SELECT DISTINCT file, 'name', 3.0 FROM f WHERE len(list_filter({_ARRAY(w for w in _RANKED_WORDS if len(w) >= 4)}, lambda w: contains(split_part(file, '/', -1), w))) > 0
+  UNION ALL SELECT file, 'litpart', 1.5 * n FROM (SELECT file, len(list_intersect(own, {_ARRAY(_RANKED_WORDS)})) AS n, len(own) AS m FROM (SELECT file, list_distinct(list_filter(regexp_extract_all(lower('the ' || replace(name, '_', ' ') || ' economy'), '[a-z_$][a-z0-9_$]*'), lambda w: length(w) >= 3 AND w <> 'the')) AS own FROM f)) WHERE n >= 2 AND n >= m * 0.5),
+k AS (SELECT file, kind, least(sum(points), CASE kind WHEN 'symbol' THEN 30 WHEN 'sub' THEN 8 WHEN 'litpart' THEN 6 ELSE 3 END) AS points FROM e GROUP BY file, kind),
+s AS (SELECT file, sum(points) AS sum FROM k GROUP BY file)
+SELECT file, round(sum, 1) AS score FROM s ORDER BY round(sum, 9) DESC, file LIMIT 40"""
+
+
 def skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _parts(spark, sf_dir)
     return Y.skeleton(parts, parts.select("file"), 5)
@@ -85,5 +112,5 @@ def subword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SUBWORDS_SQL = "SELECT p_partkey, array_to_string(list_filter(list_transform(regexp_extract_all(p_type || '_' || p_name || '_' || p_brand, '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x)), lambda x: length(x) >= 3), ',') AS parts FROM part"
 
-QUERIES = {"symbol_index": symbol_index, "find_symbols": find_symbols, "skeleton": skeleton, "idf_table": idf_table, "literals_topn": literals_topn, "token_estimates": token_estimates, "subwords": subword_table}
-ORACLE = {"symbol_index": INDEX_SQL, "find_symbols": FIND_SQL, "skeleton": SKELETON_SQL, "idf_table": IDF_SQL, "literals_topn": LITERALS_SQL, "token_estimates": TOKENS_SQL, "subwords": SUBWORDS_SQL}
+QUERIES = {"symbol_index": symbol_index, "find_symbols": find_symbols, "rank_files": rank_files, "skeleton": skeleton, "idf_table": idf_table, "literals_topn": literals_topn, "token_estimates": token_estimates, "subwords": subword_table}
+ORACLE = {"symbol_index": INDEX_SQL, "find_symbols": FIND_SQL, "rank_files": RANK_SQL, "skeleton": SKELETON_SQL, "idf_table": IDF_SQL, "literals_topn": LITERALS_SQL, "token_estimates": TOKENS_SQL, "subwords": SUBWORDS_SQL}
