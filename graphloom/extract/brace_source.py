@@ -127,12 +127,17 @@ class _Reader:
                 self.add("RETURN_VALUE", i, end, value=self.between(i + 1, end))
             elif word == "throw":
                 self.add("ERROR", i, self._statement_end(i), throw=self.between(i + 1, self._statement_end(i)))
-            elif self.text(i + 1) == "(" and word not in NOT_CALLS and not word.startswith("@") and i + 1 in self.match:
+            elif self.text(i + 1) == "(" and word not in NOT_CALLS and not word.startswith("@") and i + 1 in self.match and not self._declared(i):
                 self._call(i, word)
             if word in ("const", "let", "var") or (self.java and self.text(i + 2) == "=" and word[:1].isupper()):
                 self._variable(i)
         return self.rows
 
+    def _declared(self, i: int) -> bool:
+        """Whether the name at i is that of a function declaration."""
+        before = self.text(i - 1)
+        return before == "function" or (before == "*" and self.text(i - 2) == "function")
+
     def _statement_end(self, i: int) -> int:
         j, n = i + 1, len(self.tokens)
         while j < n and self.text(j) not in (";", "}"):

@@ -14,6 +14,7 @@ from ..plans.lineage import cut
 from ..plans.nodes import node, normal_path
 from ..plans.priority import first_match
 from . import link as L
+from . import registry as K
 from . import resolve as R
 
 # Builtin functions and methods that calls often mean, markers of untrusted input, sanitizers, endings that a module path may lack.
@@ -275,12 +276,22 @@ def security(g: dict[str, DataFrame], calls: DataFrame) -> dict[str, DataFrame]:
     return {"data_flow": flow, "taint_sources": sources, "security_sinks": sinks, "sanitizers": sanitizers, "security_findings": findings}
 
 
+def gated(g: dict[str, DataFrame], frameworks: list[str], web: bool, database: bool) -> dict[str, DataFrame]:
+    """The sections that depend on what the project imports: an express app's calls on its own router aren't calls of the project, and a method's name alone (`find`, `update`) makes a database operation
+    only where a web or database package is imported; a query's text always does."""
+    noise = F.col("object").isin(*K.NOISE_OBJECTS) & F.col("function").isin(*K.NOISE_FUNCTIONS)
+    calls = g["calls"].where(~F.coalesce(noise, F.lit(False))) if "express" in frameworks else g["calls"]
+    return {"calls": calls, "database_ops": g["database_ops"] if web or database else g["database_ops"].where("query is not null")}
+
+
 def build(files: DataFrame, matches: DataFrame) -> Graph:
     """The whole graph of a source tree. files: file, content, is_test; matches: extract.schema.MATCHES."""
     matches = cut(matches)
     g = declarations(matches)
     known = files.select("file").distinct()
     g["imports"] = cut(resolve_modules(g["imports"], known))
+    gates = K.gates(g["imports"].select(F.lit(0).alias("project"), "source"), ["project"]).first()  # one row of a few fixed names
+    g |= gated(g, *(gates["frameworks"], gates.web, gates.database) if gates else ([], False, False))
     g["reexports"] = cut(resolve_modules(g["reexports"].withColumn("name", F.coalesce("original", F.lit("*"))), known).drop("name"))
     calls, facts = infer(g, g["imports"])
     g |= {"calls": calls, "types": facts}
