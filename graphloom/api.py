@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import argparse
 import json
+import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +18,16 @@ from .operators import build as B
 from .operators import context as X
 from .operators import impact as I
 from .operators import symbols as Y
-from .operators.incremental import hash_diff
+from .operators.incremental import apply_update, hash_diff, merge_trace
+from .plans.lineage import cut
 from .plans.nodes import node
 from .sources import records
 from .sources.files import read_matches, repo_files
 
 #: Sections that a snapshot holds.
-SECTIONS = ("functions", "classes", "imports", "reexports", "calls", "arguments", "parameters", "returns", "types", "variable_states", "routes", "database_ops", "errors", "literals", "constants", "execution_edges", "data_flow", "taint_sources", "security_sinks", "sanitizers", "security_findings", "symbol_index", "files")
+SECTIONS = ("functions", "classes", "imports", "reexports", "calls", "arguments", "parameters", "returns", "types", "variable_states", "routes", "database_ops", "errors", "literals", "constants", "execution_edges", "data_flow", "taint_sources", "security_sinks", "sanitizers", "security_findings", "symbol_index", "files", "matches")
+#: Most names of changed files that an answer lists.
+REPORTED = 100
 
 
 @dataclass
@@ -33,24 +38,52 @@ class Engine:
     tests: bool = True
 
     def build_graph(self, force: bool = False) -> dict:
-        """Reads the snapshot if nothing changed since, else builds the graph again and writes a new version. A body edit or a rename ends in the same graph as a full build."""
+        """Reads the snapshot if nothing changed since, else builds the graph and writes a new version.
+
+        Only files that were added or changed are parsed; the matches of the others come from the snapshot, without those of deleted files. Names are resolved over all matches, so an edit,
+        a rename or a delete ends in the same graph as a full build.
+        """
         files = repo_files(self.spark, self.directory, self.tests)
+        names: list[str] = []
         if not force and records.has_snapshot(self.spark, self.snapshot):
-            changed = hash_diff(records.load_snapshot(self.spark, self.snapshot, "files").select("file", "sha256"), files.select("file", "sha256"))
+            changed = cut(hash_diff(self.section("files").select("file", "sha256"), files.select("file", "sha256")))
             if changed.isEmpty():
                 return {"built": False, "changed": []}
-            names = [r.file for r in changed.orderBy("file").limit(100).collect()]
+            names = [r.file for r in changed.orderBy("file").limit(REPORTED).collect()]
+            fresh = read_matches(files.join(changed.where("change <> 'deleted'").select("file"), "file", "left_semi"))
+            matches = apply_update(self.section("matches"), fresh, changed)
         else:
-            names = []
-        graph = B.build(files, read_matches(files))
-        tables = {n: getattr(graph, n) for n in SECTIONS if n != "files"} | {"files": files.drop("mtime")}
+            matches = read_matches(files)
+        matches = cut(matches)
+        graph = B.build(files, matches)
+        tables = {n: getattr(graph, n) for n in SECTIONS if n not in ("files", "matches")} | {"files": files.drop("mtime"), "matches": matches}
         return {"built": True, "changed": names, "version": records.save_snapshot(tables, self.snapshot)}
 
+    def watch(self, rounds: int | None = None, interval: float = 1.0) -> Iterator[dict]:
+        """Builds again whenever files appear, change or go, looking every `interval` seconds; gives the answer of each build. rounds: how often to look (None: for ever)."""
+        done = 0
+        while rounds is None or done < rounds:
+            if done:
+                time.sleep(interval)
+            done += 1
+            if (answer := self.build_graph())["built"]:
+                yield answer
+
+    def merge_trace(self, path: str, tests: int = 5) -> DataFrame:
+        """The function calls of the graph with what a recorded trace saw: counts, the first tests, confidence. What was recorded of files that changed since doesn't count; pairs without an edge are added."""
+        seen, recorded = records.load_trace(self.spark, path)
+        seen = records.stale_edges(seen, recorded, self.section("files").select("file", "sha256"))
+        ends = [f"{side}_{part}" for side in ("src", "dst") for part in ("file", "function", "class")]
+        e = self.section("execution_edges").where("edge_type = 'FUNCTION_CALL'")
+        flat = e.select(*[F.coalesce(F.col(c.replace("_", ".", 1)), F.lit("")).alias(c) for c in ends], "confidence").groupBy(*ends).agg(F.min("confidence").alias("confidence"))
+        trace = seen.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ends], "test", "count", "stale")
+        return merge_trace(flat, trace, ends, F.col("stale"), tests)
+
     def section(self, name: str) -> DataFrame:
         return records.load_snapshot(self.spark, self.snapshot, name)
 
     def graph(self) -> B.Graph:
-        return B.Graph({n: self.section(n) for n in SECTIONS})
+        return B.Graph({n: self.section(n) for n in SECTIONS if n != "matches"})
 
     def target(self, *specs: str) -> DataFrame:
         """seed_id, node of target specs; an ambiguous or unknown one is an error with candidates."""
@@ -121,9 +154,14 @@ def main(argv: list[str] | None = None) -> None:
     args.add_argument("--policy", default="DEFAULT", choices=sorted(I.POLICIES))
     args.add_argument("--show-code", action="store_true")
     args.add_argument("--out")
+    args.add_argument("--serve", type=int, metavar="PORT", help="answer requests over HTTP after the build")
     given = args.parse_args(argv)
     engine = Engine(local_session(), given.dir, given.snapshot)
     answer: dict = {"graph": engine.build_graph(given.build), "metrics": engine.metrics()}
+    if given.serve:
+        from .server import serve
+
+        serve(engine, given.serve).serve_forever()
     if given.target:
         answer["impact"] = engine.impact(given.target, given.policy)
         if given.show_code:
