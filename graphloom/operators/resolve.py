@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..plans.closure import reach
 
+#: Most route templates with an open end that are sent to every task.
+BROADCAST = 10_000
+
 
 def resolve_alias(uses: DataFrame, aliases: DataFrame) -> DataFrame:
     """uses (file, scope, name) with `original`: the alias of the scope, else the file's GLOBAL one, else the name itself. aliases: file, scope, alias, original."""
@@ -149,19 +152,27 @@ def argument_flow(arguments: DataFrame, parameters: DataFrame) -> DataFrame:
 def route_matches(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """Routes whose template fits a called path, those with the fewest wildcards of each call. calls: call_id, method, path; routes: route_id, method (ANY fits all), template.
 
-    `{v}` and `*` stand for one segment, `**` for any rest. Templates without `**` are met by the number of segments, the others by the join of the first literal segment; the pattern is the residual.
+    `{v}` and `*` stand for one segment, `**` for any rest. A template without `**` is met by the number of segments and the first segment, where that is literal; else by the number alone. The pattern is the
+    residual. Templates with `**` are sent to the calls while they are at most BROADCAST, else they are met by their first segment.
     """
-    count = lambda c: F.size(F.filter(F.split(c, "/"), lambda x: x != ""))
+    segments = lambda c: F.filter(F.split(c, "/"), lambda x: x != "")
     wild = r"\{[^/}]*\}|\*"
     pattern = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace("template", r"([.+()\[\]^$|\\?])", r"\\$1"), r"\*\*", "\u0001"), wild, "[^/]+"), "\u0001", ".*")
-    t = routes.select("route_id", F.upper("method").alias("route_method"), "template", F.concat(F.lit("^"), pattern, F.lit("/?$")).alias("pattern"), F.size(F.regexp_extract_all("template", F.lit(wild), 0)).alias("wildcards"), count("template").alias("segments"))
-    c = calls.withColumn("segments", count("path"))
+    head = F.get(segments("template"), F.lit(0))
+    t = routes.select("route_id", F.upper("method").alias("route_method"), "template", F.concat(F.lit("^"), pattern, F.lit("/?$")).alias("pattern"), F.size(F.regexp_extract_all("template", F.lit(wild), 0)).alias("wildcards"), F.size(segments("template")).alias("segments"), F.when(~head.rlike(r"[{*]"), head).alias("first"), F.contains("template", F.lit("**")).alias("open"))
+    c = calls.withColumns({"segments": F.size(segments("path")), "first": F.get(segments("path"), F.lit(0))})
     fits = F.expr("path rlike pattern") & ((F.col("route_method") == "ANY") | (F.col("route_method") == F.upper("method")))
-    fixed = c.join(t.where("not contains(template, '**')"), "segments").where(fits)
-    open_ended = c.join(F.broadcast(t.where("contains(template, '**')").drop("segments")), fits)
-    best = Window.partitionBy("call_id").orderBy("wildcards")
     cols = ["call_id", "route_id", "template", "wildcards"]
-    return fixed.select(*cols).unionByName(open_ended.select(*cols)).withColumn("__r", F.rank().over(best)).where("__r = 1").drop("__r")
+    literal = c.join(t.where("not open and first is not null"), ["segments", "first"]).where(fits).select(*cols)
+    other = c.drop("first").join(t.where("not open and first is null").drop("first"), "segments").where(fits).select(*cols)
+    rest = t.where("open").drop("segments")
+    if rest.count() <= BROADCAST:
+        open_ended = c.drop("segments", "first").join(F.broadcast(rest.drop("first")), fits).select(*cols)
+    else:
+        by_head = c.drop("segments").join(rest.where("first is not null"), "first").where(fits).select(*cols)
+        open_ended = by_head.unionByName(c.drop("segments", "first").join(rest.where("first is null").drop("first"), fits).select(*cols))
+    best = Window.partitionBy("call_id").orderBy("wildcards")
+    return literal.unionByName(other).unionByName(open_ended).withColumn("__r", F.rank().over(best)).where("__r = 1").drop("__r")
 
 
 def infer_unique(facts: DataFrame, subject: list[str], value: str) -> DataFrame:

@@ -21,6 +21,15 @@ def recall_precision(actual: Column, selected: Column) -> dict[str, Column]:
     return {"tp": tp, "fp": m - tp, "fn": n - tp, "recall": F.when(n == 0, 1.0).otherwise(F.round(tp / n, 4)), "precision": F.when(m == 0, 1.0).otherwise(F.round(tp / m, 4))}
 
 
+def recall_precision_by(rows: DataFrame, by: list[str], actual: Column, selected: Column) -> DataFrame:
+    """The same for each group of rows, of which `actual` and `selected` say whether a row is in either set: conditional sums, so no set is gathered."""
+    a, s = F.coalesce(actual, F.lit(False)), F.coalesce(selected, F.lit(False))
+    sums = rows.groupBy(*by).agg(F.count(F.when(a & s, 1)).alias("tp"), F.count(F.when(~a & s, 1)).alias("fp"), F.count(F.when(a & ~s, 1)).alias("fn"))
+    share = lambda part, whole: F.when(whole == 0, 1.0).otherwise(F.round(part / whole, 4))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return sums.select(*by, *[c.cast("int").alias(n) for n, c in (("tp", tp), ("fp", fp), ("fn", fn))], share(tp, tp + fn).alias("recall"), share(tp, tp + fp).alias("precision"))
+
+
 def efficiency(context: Column, whole: Column) -> Column:
     """Percent of the whole that the context leaves out, 0 to 100, two places."""
     return F.when(whole <= 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - context / whole) * 100)), 2))
@@ -45,9 +54,13 @@ def added_lines(patch: Column) -> Column:
     return F.when(F.size(plus) > 0, F.transform(plus, lambda x: F.substring(x, 2, 1_000_000_000))).otherwise(lines)
 
 
-def patch_features(patch: Column) -> dict[str, Column]:
-    """Sets of declared variables, called functions, member expressions, assigned names and identifiers of the added lines, and the number of comments."""
-    text = F.array_join(added_lines(patch), "\n")
+def with_added(patches: DataFrame, patch: str) -> DataFrame:
+    """patches with added_lines and added_text of a patch. They go through explode, so that what uses them several times doesn't cut the patch up again each time."""
+    return patches.select("*", F.explode(F.array(added_lines(F.col(patch)))).alias("added_lines")).select("*", F.explode(F.array(F.array_join("added_lines", "\n"))).alias("added_text"))
+
+
+def patch_features(lines: Column, text: Column) -> dict[str, Column]:
+    """Sets of declared variables, called functions, member expressions, assigned names and identifiers of the added lines, and the number of comments. lines, text: of with_added()."""
     find = lambda pattern: F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1)))
     return {
         "declared": find(r"\b(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)"),
@@ -55,7 +68,7 @@ def patch_features(patch: Column) -> dict[str, Column]:
         "members": find(r"([A-Za-z_$][A-Za-z0-9_$]*\.[A-Za-z_$][A-Za-z0-9_$]*)"),
         "assigned": find(r"([A-Za-z_$][A-Za-z0-9_$]*)\s*=[^=>]"),
         "identifiers": F.filter(find(r"([A-Za-z_$][A-Za-z0-9_$]*)"), lambda x: ~F.lower(x).isin(*KEYWORDS)),
-        "comments": F.size(F.filter(added_lines(patch), lambda x: F.ltrim(x).rlike(r"^(//|#|/\*)"))),
+        "comments": F.size(F.filter(lines, lambda x: F.ltrim(x).rlike(r"^(//|#|/\*)"))),
     }
 
 

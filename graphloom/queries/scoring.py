@@ -13,8 +13,7 @@ def recall_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By source: documents of good quality against those of over 200 words."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     words = F.size(F.regexp_extract_all("text", F.lit("[^ \n]+"), 0))
-    sets = docs.groupBy("source").agg(F.collect_set(F.when(F.col("quality") == 1, F.col("doc_id"))).alias("actual"), F.collect_set(F.when(words > 200, F.col("doc_id"))).alias("selected"))
-    return sets.select("source", *[c.alias(n) for n, c in S.recall_precision(F.col("actual"), F.col("selected")).items()])
+    return S.recall_precision_by(docs, ["source"], F.col("quality") == 1, words > 200)
 
 
 RECALL_SQL = r"""WITH d AS (SELECT source, doc_id, quality = 1 AS a, len(regexp_extract_all(text, '[^ \n]+')) > 200 AS s FROM documents JOIN labels USING (doc_id)),
@@ -45,7 +44,7 @@ SELECT conv_id, round(greatest(0, least(100, (1 - context / whole) * 100)), 2) A
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "text", *[c.alias(n) for n, c in S.patch_features(F.col("text")).items()])
+    return S.with_added(docs, "text").select("doc_id", "text", *[c.alias(n) for n, c in S.patch_features(F.col("added_lines"), F.col("added_text")).items()])
 
 
 def patch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
