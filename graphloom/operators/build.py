@@ -66,6 +66,7 @@ def declarations(matches: DataFrame) -> dict[str, DataFrame]:
         "parameters": _of(matches, "PARAMETER").select("file", F.col("owner_function").alias("function"), F.col("owner_class").alias("class"), F.col("owner_line").alias("line"), _one("pos").cast("int").alias("pos"), _one("group").alias("group_type"), _one("name").alias("name"), _many("keys").alias("keys"), _one("type").alias("type")),
         "returns": _of(matches, "RETURN_VALUE").select("file", F.col("owner_function").alias("function"), F.col("owner_class").alias("class"), _one("value").alias("value"), _one("from_call").alias("from_call")),
         "types": _of(matches, "VARIABLE_TYPE").select("file", F.col("scope_id").alias("scope"), "owner_function", "owner_class", _one("variable").alias("variable"), _one("type").alias("type"), _one("from_call").alias("from_call")),
+        "destructured": _of(matches, "DESTRUCTURE").select("file", _one("local").alias("local"), _one("source").alias("source"), _one("function").alias("function"), "seq"),
         "aliases": _of(matches, "ALIAS").select("file", F.col("scope_id").alias("scope"), _one("alias").alias("alias"), _one("original").alias("original")),
         "variable_states": _of(matches, "VARIABLE_STATE").select("file", F.col("owner_function").alias("function"), F.col("owner_class").alias("class"), _one("variable").alias("variable"), _one("value").alias("value"), (_one("value").rlike(UNTRUSTED) & ~_one("value").rlike(SANITIZERS)).alias("tainted"), _one("value").rlike(SANITIZERS).alias("sanitized")),
         "routes": _of(matches, "ROUTE").select("file", _one("method").alias("method"), _one("path").alias("path"), _one("router").alias("router"), _one("handler").alias("handler"), _many("middlewares").alias("middlewares")),
@@ -284,6 +285,15 @@ def gated(g: dict[str, DataFrame], frameworks: list[str], web: bool, database: b
     return {"calls": calls, "database_ops": g["database_ops"] if web or database else g["database_ops"].where("query is not null")}
 
 
+def through_destructuring(calls: DataFrame, destructured: DataFrame) -> DataFrame:
+    """calls in which a bare name that was taken out of an object (`const { find } = users`) is that object's function again."""
+    named = destructured.where(F.col("source").rlike(r"^[A-Za-z_$][\w$.]*$"))
+    found = R.resolve_destructured(calls.select("file", F.col("function").alias("name")).distinct(), named).where("source_object is not null")
+    held = calls.join(found.withColumnRenamed("name", "function"), ["file", "function"], "left")
+    taken = F.col("object").isNull() & F.col("source_object").isNotNull()
+    return held.select(*[F.when(taken, F.col("source_object")).otherwise(F.col("object")).alias(c) if c == "object" else F.when(taken, F.col("original")).otherwise(F.col("function")).alias(c) if c == "function" else F.col(c) for c in calls.columns])
+
+
 def build(files: DataFrame, matches: DataFrame) -> Graph:
     """The whole graph of a source tree. files: file, content, is_test; matches: extract.schema.MATCHES."""
     matches = cut(matches)
@@ -292,6 +302,7 @@ def build(files: DataFrame, matches: DataFrame) -> Graph:
     g["imports"] = cut(resolve_modules(g["imports"], known))
     gates = K.gates(g["imports"].select(F.lit(0).alias("project"), "source"), ["project"]).first()  # one row of a few fixed names
     g |= gated(g, *(gates["frameworks"], gates.web, gates.database) if gates else ([], False, False))
+    g["calls"] = through_destructuring(g["calls"], g["destructured"])
     g["reexports"] = cut(resolve_modules(g["reexports"].withColumn("name", F.coalesce("original", F.lit("*"))), known).drop("name"))
     calls, facts = infer(g, g["imports"])
     g |= {"calls": calls, "types": facts}

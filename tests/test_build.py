@@ -258,6 +258,12 @@ def test_changed_lines(spark):
     assert got == [("x.py", 2), ("x.py", 3), ("x.py", 11)]
 
 
+def test_names_taken_out_of_an_object(spark):
+    files = spark.createDataFrame([("a.js", "const users = require('./b');\nconst { find, drop: gone } = users;\n\nfunction go() {\n  find(1);\n  gone();\n}\n", False), ("b.js", "function find(id) {\n  return id;\n}\n\nfunction drop() {\n  return 0;\n}\n\nmodule.exports = { find, drop };\n", False)], "file string, content string, is_test boolean")
+    calls = B.build(files, S.read_matches(files)).calls.where("owner_function = 'go'")
+    assert {(r.object, r.function, r.resolved_file, r.resolution) for r in calls.collect()} == {("users", "find", "b.js", "imported-object"), ("users", "drop", "b.js", "imported-object")}
+
+
 def test_engine_answers(spark, tree, tmp_path_factory):
     from graphloom.api import Engine
 
