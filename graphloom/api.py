@@ -93,8 +93,11 @@ class Engine:
         return raw.select("seed_id", node(F.col("type"), file=F.col("file"), function=F.col("function"), class_=F.col("cls"), route=F.col("route"), method=F.col("method")).alias("node"))
 
     def impact(self, spec: str, policy: str = "DEFAULT", max_depth: int | None = None, direction: str | None = None, include_tests: bool = False, min_confidence: str | None = None) -> dict:
-        target = self.target(spec)
-        rows = I.resolve_impact(self.section("execution_edges"), target, policy, max_depth, direction, None, include_tests, min_confidence).orderBy("direction", "depth", "edge_id").collect()
+        target, edges = self.target(spec), self.section("execution_edges")
+        if policy == "DEPENDENCY_ONLY":  # between files: that of the target
+            edges = edges.unionByName(B.import_edges(self.section("imports")))
+            target = target.select("seed_id", node("FILE", file=F.col("node.file")).alias("node"))
+        rows = I.resolve_impact(edges, target, policy, max_depth, direction, None, include_tests, min_confidence).orderBy("direction", "depth", "edge_id").collect()
         name = spec.rsplit(":", 1)[-1].rsplit(".", 1)[-1]
         calls = self.section("calls").select("file", "function", "resolved_file", "external")
         whole = I.completeness(calls, self.spark.createDataFrame([(0, name)], "seed_id bigint, name string")).first()

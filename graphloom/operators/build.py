@@ -254,6 +254,14 @@ def execution_edges(g: dict[str, DataFrame], calls: DataFrame, linked: DataFrame
     return out.select(F.xxhash64("edge_type", "src", "dst", F.coalesce("call_id", F.lit(""))).alias("edge_id"), "*", F.lit(None).cast("boolean").alias("observed"), F.lit(None).cast("string").alias("source"))
 
 
+def import_edges(imports: DataFrame) -> DataFrame:
+    """Edges of type IMPORT between files, with the columns of execution_edges: what the policy DEPENDENCY_ONLY walks. imports: file, resolved_file, is_test."""
+    none = F.lit(None).cast("string")
+    links = imports.where("resolved_file is not null").groupBy("file", "resolved_file").agg(F.min(F.coalesce("is_test", F.lit(False))).alias("is_test"))
+    ends = links.select(F.lit("IMPORT").alias("edge_type"), node("FILE", file=F.col("file")).alias("src"), node("FILE", file=F.col("resolved_file")).alias("dst"), none.alias("call_id"), "is_test", F.lit("resolved").alias("confidence"), none.alias("via"))
+    return ends.select(F.xxhash64("edge_type", "src", "dst").alias("edge_id"), "*", F.lit(None).cast("boolean").alias("observed"), none.alias("source"))
+
+
 def security(g: dict[str, DataFrame], calls: DataFrame) -> dict[str, DataFrame]:
     """data_flow, taint_sources, security_sinks, sanitizers and security_findings (tainted functions that reach a query without a sanitizer in them)."""
     params = g["parameters"].select(F.col("file").alias("target_file"), F.col("function").alias("target_function"), "pos", "group_type", F.col("name").alias("target_param"))

@@ -147,5 +147,16 @@ def build_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 DIFF_SQL = """SELECT * FROM (VALUES ('removed', 'FUNCTION_CALL', 'app.py:main', 'shop/tools.py:check'), ('removed', 'FUNCTION_CALL', 'shop/store.py:Store:save', 'shop/tools.py:check'), ('removed', 'FUNCTION_CALL', 'shop/tools.py:twice', 'shop/tools.py:check'),
 ('added', 'FUNCTION_CALL', 'shop/store.py:Store:save', 'shop/tools.py:verify'), ('added', 'FUNCTION_CALL', 'shop/tools.py:twice', 'shop/tools.py:verify')) t(change, edge_type, src, dst)"""
 
-QUERIES = {"build_functions": build_functions, "build_imports": build_imports, "build_calls": build_calls, "build_edges": build_edges, "build_data_flow": build_data_flow, "build_findings": build_findings, "build_parameters": build_parameters, "build_impact": build_impact, "build_diff": build_diff}
-ORACLE = {"build_functions": FUNCTIONS_SQL, "build_imports": IMPORTS_SQL, "build_calls": CALLS_SQL, "build_edges": EDGES_SQL, "build_data_flow": FLOW_SQL, "build_findings": FINDINGS_SQL, "build_parameters": PARAMETERS_SQL, "build_impact": IMPACT_SQL, "build_diff": DIFF_SQL}
+def build_dependency_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The policy over the edges that imports make, around one file."""
+    g = graph_of(spark)
+    target = spark.range(1).select(F.lit(0).cast("bigint").alias("seed_id"), node("FILE", file="shop/store.py").alias("node"))
+    found = I.resolve_impact(g.execution_edges.unionByName(B.import_edges(g.imports)), target, "DEPENDENCY_ONLY", include_tests=True)
+    return found.select("direction", "depth", "edge_type", F.col("src.file").alias("src"), F.col("dst.file").alias("dst"))
+
+
+DEPENDENCY_SQL = """SELECT *, 1 AS depth, 'IMPORT' AS edge_type FROM (VALUES ('up', 'shop/__init__.py', 'shop/store.py'), ('up', 'tests/test_store.py', 'shop/store.py'), ('down', 'shop/store.py', 'shop/base.py'),
+('down', 'shop/store.py', 'shop/tools.py')) t(direction, src, dst)"""
+
+QUERIES = {"build_functions": build_functions, "build_imports": build_imports, "build_calls": build_calls, "build_edges": build_edges, "build_data_flow": build_data_flow, "build_findings": build_findings, "build_parameters": build_parameters, "build_impact": build_impact, "build_diff": build_diff, "build_dependency_only": build_dependency_only}
+ORACLE = {"build_functions": FUNCTIONS_SQL, "build_imports": IMPORTS_SQL, "build_calls": CALLS_SQL, "build_edges": EDGES_SQL, "build_data_flow": FLOW_SQL, "build_findings": FINDINGS_SQL, "build_parameters": PARAMETERS_SQL, "build_impact": IMPACT_SQL, "build_diff": DIFF_SQL, "build_dependency_only": DEPENDENCY_SQL}
