@@ -151,3 +151,42 @@ def test_url_models_see_query_and_fragment(spark):
     got = {r.id: r for r in url_filter.judge_urls(spark.createDataFrame(rows + pairs, "page_id bigint, url string")).where(F.col("id") >= 5000).collect()}
     assert {r.path for r in got.values()} == {"/page"}
     assert [got[5000 + i].verdict for i in range(40)] == ["block", "allow"] * 20
+
+
+def test_decoding_takes_the_nearest_code_word():
+    """Loss-weighted decoding against loops over languages and bits."""
+    draw = np.random.default_rng(4)
+    x = draw.random((120, 30)).astype(np.float32)
+    y = np.repeat(np.arange(4), 30)
+    x[np.arange(120), y * 5] += 1
+    coder = language_id.Coder(x, y, ["a", "b", "c", "d"], rounds=30)
+    share, gap = coder.decode(x)
+    for row in range(0, 120, 7):
+        losses = []
+        for word in coder.code:
+            loss = 0.0
+            for j, bit in enumerate(word):
+                margin = float(np.clip(sum(float(x[row, i]) * float(coder.w[i, j]) for i in range(30)) + float(coder.b[j]), -30, 30))
+                loss += float(coder.trust[j]) * np.log1p(np.exp(-margin * bit))
+            losses.append(loss / coder.trust.sum())
+        order = np.argsort(losses)
+        assert share[row].argmax() == order[0] and abs(gap[row] - (losses[order[1]] - losses[order[0]])) < 1e-4
+    assert (share.argmax(axis=1) == y).mean() > 0.95
+
+
+def test_signs_and_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame([(1, "½ ² ① Ⅻ 12!"), (2, "a"), (3, "é"), (4, "日")], "doc_id bigint, text string")
+    train = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat", "en"), ("der hund", "de")] * 20)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.fit(train)).collect()}
+    assert got[1] == "und" and "und" not in (got[2], got[3], got[4])
+
+
+def test_toxicity_recall_and_harmless_words(spark):
+    """Held-out toxic documents that are caught, and a listed insult that labels show to be an everyday word."""
+    got = QUERIES["op5_toxicity"](spark, MID).toPandas()
+    held = got.merge(duckdb.sql(f"select doc_id, toxic from '{MID}/labels.parquet'").df(), on="doc_id").query("held_out and toxic == 1")
+    assert (held["predicted"] == 1).mean() > 0.5
+    rows = [(i, "you total idiot and moron number %d" % i if i % 2 else "le train arrive en retard ce soir %d" % i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, toxic int"))
+    assert "retard|" not in model.terms and "idiot|" in model.terms
