@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from math import comb
 
 import duckdb
 import numpy as np
@@ -255,3 +256,32 @@ def test_near_dedup_query_on_the_table(spark):
 
 def test_line_dedup_bands_miss_hardly_any_pair_at_the_threshold():
     assert (1 - 0.8**line_dedup.ROWS) ** line_dedup.RANGES <= 1e-5
+
+
+def test_line_dedup_sorts_hashes_outside_the_interpreted_generator(spark):
+    """Only the hashes themselves are made in a generator, which Spark interprets; they are sorted and made distinct in a compiled projection after it."""
+    plan = line_dedup.hashed(spark.createDataFrame([(1, "one two three")], "key bigint, line string"), "line")._jdf.queryExecution().optimizedPlan().toString()
+    made = [x for x in plan.split("\n") if "Generate" in x]
+    assert made and not any("sort_array" in x or "array_distinct" in x for x in made) and "sort_array(array_distinct(" in plan
+
+
+def test_line_dedup_least_hashes_turn_down_no_similar_pair(spark, monkeypatch):
+    """similar() against sets, for pairs on both sides of the threshold; the least hashes alone turn down the far ones, so that whole sets aren't compared for them."""
+    draw = random.Random(4)
+    new = lambda n: [draw.randrange(-(2**63), 2**63) for _ in range(n)]
+    rows = []
+    for n in (1, 5, 31, 32, 33, 40, 100, 400):
+        for _ in range(60):
+            both, rest = new(n), new(max(1, n // 4))
+            part = draw.randrange(len(rest) + 1)
+            rows.append((sorted(both + rest[:part]), sorted(both + rest[part:])))
+        rows += [(sorted(x := new(n)), sorted(x[: n // 3] + new(n - n // 3))) for _ in range(20)]
+    ratio = [len(set(a) & set(b)) * 100 >= 80 * len(set(a) | set(b)) for a, b in rows]
+    assert {True, False} == set(ratio)
+    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a array<bigint>, b array<bigint>")
+    got = dict(pairs.select("i", line_dedup.similar(F.col("a"), F.col("b"), 80)).collect())
+    assert [got[i] for i in range(len(rows))] == ratio
+    need = line_dedup.fewest(80)
+    assert 0 < need and sum(comb(line_dedup.LEAST, k) * 0.8**k * 0.2 ** (line_dedup.LEAST - k) for k in range(need)) <= line_dedup.MISS
+    far = [len(set(a[: line_dedup.LEAST]) & set(b[: line_dedup.LEAST])) < need for (a, b), x in zip(rows, ratio) if not x and len(a) == len(b) == 400]
+    assert sum(far) >= 10
